@@ -57,18 +57,18 @@ def flag_possible(df: DataFrame, key: Column, members: DataFrame, member_key: Co
     """
     place = lambda k: F.pmod(F.xxhash64(k), F.lit(bits))
     bitmap = (
-        members.select((place(member_key) + 1).alias("_pos"))  # bitmap positions are counted from 1
-        .groupBy(F.expr("bitmap_bucket_number(_pos)").alias("_bucket"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(_pos))").alias("_bits"))
+        members.select((place(member_key) + 1).alias("__att_pos"))  # bitmap positions are counted from 1
+        .groupBy(F.expr("bitmap_bucket_number(__att_pos)").alias("__att_bucket"))
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(__att_pos))").alias("__att_bits"))
     )
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(floor((_at % 32768) / 8) as int) + 1, 1)")), 16, 10).cast("int")
-    bit = F.expr("shiftleft(1, cast(_at % 8 as int))")
+    byte = F.conv(F.hex(F.expr("substring(__att_bits, cast(floor((__att_at % 32768) / 8) as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.expr("shiftleft(1, cast(__att_at % 8 as int))")
     return (
-        df.withColumn("_at", place(key))
-        .withColumn("_bucket", F.floor(F.col("_at") / 32768) + 1)
-        .join(F.broadcast(bitmap), "_bucket", "left")
+        df.withColumn("__att_at", place(key))
+        .withColumn("__att_bucket", F.floor(F.col("__att_at") / 32768) + 1)
+        .join(F.broadcast(bitmap), "__att_bucket", "left")
         .withColumn(flag, F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False)))
-        .drop("_at", "_bucket", "_bits")
+        .drop("__att_at", "__att_bucket", "__att_bits")
     )
 
 
@@ -103,3 +103,17 @@ def components(ws: Workspace, edges: DataFrame, name: str = "components", max_ro
     if labels is None:
         return ws.spark.createDataFrame([], f"node {kind}, root {kind}")
     return labels
+
+
+def labelled_sample(labels: DataFrame, docs: DataFrame, label: str, limit: int, id_col: str = "doc_id", text_col: str = "text", where: Column | None = None) -> DataFrame:
+    """Texts of at most `limit` labelled documents, by a hash of the id: (doc_id, label, text).
+
+    Rows without id or label are left out; an id labelled twice takes its highest label, and of rows that share
+    an id one gives its text. The sample's size is what bounds the broadcast.
+    """
+    chosen = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
+    if where is not None:
+        chosen = chosen.where(where)
+    chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text")

@@ -5,8 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from attestra.llm import quality, toxicity
 from attestra.llm.byte_bpe import byte_bpe
 from attestra.llm.common import Workspace
+from attestra.llm.exact_dedup import ExactDedup
 from attestra.llm.line_dedup import line_dedup
 from attestra.llm.media_ogg import texts_as_ogg
 
@@ -19,15 +21,30 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(Workspace(spark, "lines"), _table(spark, sf_dir, "documents"))
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ExactDedup(Workspace(spark, "exact"), keep="max").decisions(_table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(Workspace(spark, "quality"), docs, _table(spark, sf_dir, "labels"))
+    return quality.quality(docs, model)
+
+
 def op7_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts_as_ogg(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.fit(Workspace(spark, "toxicity"), docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op7_media_ogg, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_exact_dedup, op6_quality_classifier, op7_media_ogg, op9_toxicity, op10_byte_bpe)}
 
 ORACLE_SQL = {
     "op2_line_dedup": r"""
@@ -39,5 +56,11 @@ marked as (select rid, keyed.doc_id, line, pos, frequent.k is not null and keyed
 select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from marked group by rid, doc_id
+""",
+    "op3_exact_dedup": r"""
+with n as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from documents),
+g as (select doc_id, k, max(doc_id) over (partition by k) as keep_id, count(*) over (partition by k) as group_size,
+             row_number() over (partition by k, doc_id) as copy from n)
+select doc_id, keep_id, group_size, doc_id = keep_id and copy = 1 as kept, sha256(k) as text_sha256 from g
 """,
 }

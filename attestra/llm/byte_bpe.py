@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -23,6 +24,9 @@ from pyspark.sql import functions as F
 #: Kept transitions and kept matches; beyond these the tables start anew, so memory stays bounded.
 MAX_TRANSITIONS = 300_000
 MAX_MATCHES = 400_000
+MAX_PAIRS = 1_000_000
+_NEVER = 1 << 62
+_BYTES = [bytes((b,)) for b in range(256)]
 
 
 class Transducer:
@@ -33,78 +37,105 @@ class Transducer:
             self.token[i] = piece
         self.open = {piece[:n] for piece in ranks for n in range(1, len(piece))}
         self.split = regex.compile(pattern)
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
+        self._edges: dict[int, tuple[list, list]] = {}
         self._matches: dict[str, bytes] = {}
         self._restart()
 
     def _restart(self) -> None:
         self._states: list[tuple] = [((b"", -1, ()),)]
         self._known = {self._states[0]: 0}
-        self._next: dict[tuple[int, int], tuple[int, tuple[int, ...]]] = {}
-
-    def merged(self, data: bytes) -> list[int]:
-        """Plain merging by rank, for pairs of tokens only: it says which neighbours are stable."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            if parts[best] + parts[best + 1] not in self.ranks:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return [self.ranks[p] for p in parts]
+        self._moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        self._made = 0
+
+    def _spines(self, token: int) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]:
+        """The parts at a token's left and right edge while it is merged from bytes, each with the rank of the
+        merge that ends it (none ends the token itself)."""
+        known = self._edges.get(token)
+        if known is None:
+            data = self.token[token]
+            parts = [data[i : i + 1] for i in range(len(data))]
+            left, right = [], []
+            rank_of = self.ranks.get
+            while len(parts) > 1:
+                ranked = [rank_of(parts[i] + parts[i + 1], _NEVER) for i in range(len(parts) - 1)]
+                rank = min(ranked)
+                if rank == _NEVER:
+                    raise ValueError(f"token {token} can't be merged from its bytes")
+                best = ranked.index(rank)
+                if best == 0:
+                    left.append((parts[0], rank))
+                if best == len(parts) - 2:
+                    right.append((parts[-1], rank))
+                parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            known = self._edges[token] = ([*left, (data, _NEVER)], [*right, (data, _NEVER)])
+        return known
 
     def stable(self, left: int, right: int) -> bool:
-        key = (left, right)
-        if (known := self._pairs.get(key)) is None:
-            known = self._pairs[key] = self.merged((self.token[left] if left >= 0 else b"") + self.token[right]) == ([left, right] if left >= 0 else [right])
+        """Whether two tokens stay apart: no parts that are at the border together merge before either ends.
+        Of merges of one rank the leftmost comes first, hence < for the left part and <= for the right one."""
+        if left < 0:
+            return True
+        key = left << 32 | right
+        known = self._pairs.get(key)
+        if known is None:
+            ends, starts, rank_of = self._spines(left)[1], self._spines(right)[0], self.ranks.get
+            known = self._pairs[key] = not any((rank := rank_of(p + q, _NEVER)) < end_p and rank <= end_q for p, end_p in ends for q, end_q in starts)
         return known
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """One transition, determinised on first use: the next state and the tokens now certain."""
-        done = self._next.get((state, byte))
-        if done is not None:
-            return done
+    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """Determinise one transition: the next state and the tokens now certain."""
         live, closed = [], None
+        ranks, opened, letter = self.ranks, self.open, _BYTES[byte]
         for path, last, pending in self._states[state]:
-            path += bytes((byte,))
-            token = self.ranks.get(path)
-            if token is not None and closed is None and self.stable(last, token):
+            path += letter
+            if closed is None and (token := ranks.get(path)) is not None and self.stable(last, token):
                 closed = (b"", token, (*pending, token))
-            if path in self.open:
+            if path in opened:
                 live.append((path, last, pending))
         if closed is None:
             raise ValueError("the vocabulary lacks a single byte")
         live.append(closed)
-        shared, rest = 0, [x[2] for x in live]
-        while all(len(p) > shared and p[shared] == rest[0][shared] for p in rest):
+        first, shared = live[0][2], 0
+        for token in first:
+            if any(x[2][shared : shared + 1] != (token,) for x in live):
+                break
             shared += 1
-        key = tuple((path, last, pending[shared:]) for path, last, pending in live)
-        if (to := self._known.get(key)) is None:
+        key = tuple((path, last, pending[shared:]) for path, last, pending in live) if shared else tuple(live)
+        to = self._known.get(key)
+        if to is None:
             to = self._known[key] = len(self._states)
             self._states.append(key)
-        done = self._next[state, byte] = (to, rest[0][:shared])
+            self._moves.append({})
+        done = self._moves[state][byte] = (to, first[:shared])
+        self._made += 1
         return done
 
     def run(self, data: bytes) -> list[int]:
-        if len(self._next) > MAX_TRANSITIONS:
+        if self._made > MAX_TRANSITIONS:
             self._restart()
         out: list[int] = []
-        state = 0
+        moves, state = self._moves, 0
         for byte in data:
-            state, emitted = self.step(state, byte)
-            out.extend(emitted)
-        out.extend(self._states[state][-1][2])
-        return out
+            move = moves[state].get(byte) or self._move(state, byte)
+            state = move[0]
+            if move[1]:
+                out += move[1]
+        return [*out, *self._states[state][-1][2]]
 
     def encode(self, text: str) -> bytes:
         """Ids of the whole text as little-endian unsigned 32-bit integers."""
         known = self._matches
         if len(known) > MAX_MATCHES:
             known.clear()
+        if len(self._pairs) > MAX_PAIRS:
+            self._pairs.clear()
         parts = []
         for match in self.split.findall(text):
             packed = known.get(match)
             if packed is None:
-                packed = np.array(self.run(match.encode()), "<u4").tobytes()
+                ids = self.run(match.encode())
+                packed = struct.pack(f"<{len(ids)}I", *ids)
                 if len(match) < 64:
                     known[match] = packed
             parts.append(packed)

@@ -11,6 +11,7 @@ from attestra.llm.common import Workspace
 from attestra.llm.exact_dedup import ExactDedup
 from attestra.llm.line_dedup import line_dedup
 from attestra.llm.media_ogg import texts_as_ogg
+from attestra.llm.packing import pack
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ExactDedup(Workspace(spark, "exact"), keep="max").decisions(_table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(Workspace(spark, "packing"), _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(Workspace(spark, "quality"), docs, _table(spark, sf_dir, "labels"))
@@ -44,7 +49,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_exact_dedup, op6_quality_classifier, op7_media_ogg, op9_toxicity, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_exact_dedup, op4_best_fit_packing, op6_quality_classifier, op7_media_ogg, op9_toxicity, op10_byte_bpe)}
 
 ORACLE_SQL = {
     "op2_line_dedup": r"""

@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.llm import quality, toxicity
+from attestra.llm import near_dedup, quality, toxicity
 from attestra.llm.byte_bpe import byte_bpe
 from attestra.llm.common import Workspace
 from attestra.llm.exact_dedup import ExactDedup
+from attestra.llm.html_text import html_text
 from attestra.llm.line_dedup import line_dedup
 from attestra.llm.media_ogg import texts_as_ogg
 from attestra.llm.packing import pack
@@ -18,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(Workspace(spark, "near"), _table(spark, sf_dir, "documents")).drop("h")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(Workspace(spark, "lines"), _table(spark, sf_dir, "documents"))
 
@@ -30,6 +35,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(Workspace(spark, "packing"), _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.fit(Workspace(spark, "quality"), docs, _table(spark, sf_dir, "labels"))
@@ -49,7 +58,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_exact_dedup, op4_best_fit_packing, op6_quality_classifier, op7_media_ogg, op9_toxicity, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_line_dedup, op3_exact_dedup, op4_best_fit_packing, op5_html_extraction, op6_quality_classifier, op7_media_ogg, op9_toxicity, op10_byte_bpe)}
 
 ORACLE_SQL = {
     "op2_line_dedup": r"""

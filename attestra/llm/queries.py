@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.llm import near_dedup, quality, toxicity
+from attestra.llm import near_dedup, quality, substring_dedup, toxicity
 from attestra.llm.byte_bpe import byte_bpe
 from attestra.llm.common import Workspace
 from attestra.llm.exact_dedup import ExactDedup
@@ -49,6 +49,10 @@ def op7_media_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts_as_ogg(_table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(Workspace(spark, "substring"), _table(spark, sf_dir, "documents")).drop("h")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.toxicity(docs, toxicity.fit(Workspace(spark, "toxicity"), docs, _table(spark, sf_dir, "labels")))
@@ -58,7 +62,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_line_dedup, op3_exact_dedup, op4_best_fit_packing, op5_html_extraction, op6_quality_classifier, op7_media_ogg, op9_toxicity, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_line_dedup, op3_exact_dedup, op4_best_fit_packing, op5_html_extraction, op6_quality_classifier, op7_media_ogg, op8_substring_dedup, op9_toxicity, op10_byte_bpe)}
 
 ORACLE_SQL = {
     "op2_line_dedup": r"""

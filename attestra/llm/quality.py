@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -163,3 +165,28 @@ def quality(docs: DataFrame, model: Ordinal, grade: int | None = None, least: fl
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return src.mapInArrow(work, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, expected_grade double, tail_probability double, selected boolean")
+
+
+def selected_rows(docs: DataFrame, model: Ordinal, grade: int | None = None, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose tail probability is at least `least`, with all their columns, in one pass."""
+    weights, thresholds, grades = model.weights, model.thresholds, model.grades
+    place = (grades.index(grade) if grade is not None else len(grades) - 1) - 1
+    if place < 0 or not len(thresholds):
+        return docs
+
+    @F.pandas_udf("double")
+    def tail(texts: pd.Series) -> pd.Series:
+        own, h = Ordinal(weights, thresholds, grades), _hasher(len(weights))
+        out = []
+        for t in texts:
+            at, v = h.row(t or "")
+            out.append(float(own.tails(float(weights[at] @ v))[place]))
+        return pd.Series(out, dtype=float)
+
+    return docs.where(tail(F.col(text_col)) >= least)
+
+
+@lru_cache(1)
+def _hasher(dimensions: int) -> Hasher:
+    """One hasher for a Python worker, as a pandas UDF is called anew for every batch."""
+    return Hasher(dimensions)

@@ -1 +1,12 @@
+"""Registered queries."""
 
+from attestra.plans import scoring_queries  # noqa: F401
+from attestra.plans.registry import QUERIES, SQL
+
+
+def all_queries():
+    return QUERIES
+
+
+def all_sql():
+    return SQL

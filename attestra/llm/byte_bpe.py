@@ -21,9 +21,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestra.llm.common import slices
+
 #: Kept transitions and kept matches; beyond these the tables start anew, so memory stays bounded.
-MAX_TRANSITIONS = 300_000
-MAX_MATCHES = 400_000
+MAX_TRANSITIONS = 600_000
+MAX_MATCHES = 900_000
 MAX_PAIRS = 1_000_000
 _NEVER = 1 << 62
 _BYTES = [bytes((b,)) for b in range(256)]
@@ -130,16 +132,16 @@ class Transducer:
             known.clear()
         if len(self._pairs) > MAX_PAIRS:
             self._pairs.clear()
-        parts = []
-        for match in self.split.findall(text):
-            packed = known.get(match)
-            if packed is None:
-                ids = self.run(match.encode())
-                packed = struct.pack(f"<{len(ids)}I", *ids)
-                if len(match) < 64:
-                    known[match] = packed
-            parts.append(packed)
-        return b"".join(parts)
+        matches = self.split.findall(text)
+        missing = set(matches).difference(known)
+        for match in missing:
+            ids = self.run(match.encode())
+            known[match] = struct.pack(f"<{len(ids)}I", *ids)
+        packed = b"".join(map(known.__getitem__, matches))
+        for match in missing:
+            if len(match) > 64:
+                del known[match]
+        return packed
 
 
 #: Lead bytes by the number of bytes that must follow and the range of the first of them.
@@ -221,7 +223,7 @@ def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
 
     def work(batches):
         fst, decoder = load(ranks_path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             rows = {"doc_id": batch.column(0), "n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if ids else {})
             for value in batch.column(1):
                 packed = fst.encode(value.as_py() or "")

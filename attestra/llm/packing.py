@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from attestra.llm.common import Workspace
+from attestra.llm.common import Workspace, slices
 
 CAPACITY, END_ID = 4096, 1
 #: A sequence with at most this many free places is done.
 SLACK = 8
 #: Items that a task packs at a time; this bounds its memory.
 CHUNK = 200_000
-MAX_WORDS = 600_000
+MAX_WORDS = 900_000
 
 #: The tokenizer's own splitting pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -51,8 +51,6 @@ class Words:
 
     def _learn(self, pieces: set[str]) -> None:
         """Pieces are put together from words; words never met are encoded in one call and parted at word ends."""
-        if len(self.known) > MAX_WORDS:
-            self.known.clear()
         if len(self.words) > MAX_WORDS:
             self.words.clear()
         find, words = self.split.findall, self.words
@@ -74,14 +72,11 @@ class Words:
         if _UNUSUAL.search(text) or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
         words, known = text.lower().split(), self.known
-        try:
-            return b"".join([known[w] for w in words]) + end
-        except KeyError:
-            unique = set(words)
-            self._learn({w for w in unique if w not in known})
-            if not unique <= known.keys():  # the table was emptied meanwhile
-                self._learn({w for w in unique if w not in known})
-            return b"".join([known[w] for w in words]) + end
+        if len(known) > MAX_WORDS:
+            known.clear()
+        if missing := set(words).difference(known):
+            self._learn(missing)
+        return b"".join(map(known.__getitem__, words)) + end
 
 
 @lru_cache(2)
@@ -167,7 +162,7 @@ def pack(ws: Workspace, docs: DataFrame, tokenizer_path: str, id_col: str = "doc
 
     def tokenise(batches):
         words, bins = load(tokenizer_path), None
-        for batch in batches:
+        for batch in slices(batches):
             bins = bins or _Bins(0, batch.schema.field(0).type, capacity)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 packed = words.packed(text.as_py() or "")
@@ -180,7 +175,7 @@ def pack(ws: Workspace, docs: DataFrame, tokenizer_path: str, id_col: str = "doc
     def repack(round_: int):
         def work(batches):
             bins = None
-            for batch in batches:
+            for batch in slices(batches):
                 bins = bins or _Bins(round_, batch.schema.field(0).type.value_type.field("doc_id").type, capacity)
                 for members in batch.column(0).to_pylist():
                     yield from bins.add([tuple(m.values()) for m in members])

@@ -26,15 +26,16 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/attestra-{label}-{uuid.uuid4().hex}"
+        self._saved: dict[str, str] = {}
         Workspace._open.append(self)
 
     def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        at = f"{self.path}/{name}"
+        at = self._saved[name] = f"{self.path}/{len(self._saved)}-{uuid.uuid4().hex[:6]}-{name}"
         df.write.options(**options).parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def delete(self, name: str = "") -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self._saved.pop(name) if name else self.path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
     @classmethod
@@ -44,6 +45,13 @@ class Workspace:
             cls._open.pop().delete()
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches in small pieces, so that what Python makes of a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 #: Bits of the row filter: 2 MiB however many rows it stands for.
 FILTER_BITS = 1 << 24
 

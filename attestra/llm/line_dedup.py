@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import Workspace, flag_possible
+from attestra.llm.common import Workspace, flag_possible, slices
 
 #: Stripped at both ends of a line to get its key (fixed values).
 BLANKS = b" \t\n\v\f\r"
@@ -44,7 +44,7 @@ def line_dedup(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col:
     id_type = src.schema["doc_id"].dataType.simpleString()
 
     def keys(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids, owner, found = batch.column(0), [], []
             for row, value in enumerate(batch.column(1)):
                 text = value.as_py()
@@ -67,7 +67,7 @@ def line_dedup(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col:
     drop = ws.save(held.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "drop")  # bounded by the document's own lines
 
     def rebuild(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text, keys in zip(batch.column(1), batch.column(2)):
                 lines, gone = (text.as_py() or b"").split(b"\n"), set(keys.as_py() or ())

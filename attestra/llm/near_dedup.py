@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import Workspace, components, flag_possible
+from attestra.llm.common import Workspace, components, flag_possible, slices
 from attestra.llm.words import WordHasher, mix, windows
 
 K, LEAST, SKETCHES, SIMILARITY = 5, 3, 16, 0.8
 #: Members of one sketch value that are compared in one task; larger groups are cut into blocks of this size.
-BLOCK = 2048
+BLOCK = 512
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
@@ -92,7 +92,7 @@ def signatures(src: DataFrame) -> DataFrame:
 
     def work(batches):
         hasher = WordHasher()
-        for batch in batches:
+        for batch in slices(batches):
             nodes, sizes, sketches = [], [], []
             for t in batch.column(2):
                 words = hasher(t.as_py() or "")
@@ -111,7 +111,7 @@ def _contents(src: DataFrame) -> DataFrame:
 
     def work(batches):
         hasher = WordHasher()
-        for batch in batches:
+        for batch in slices(batches):
             nodes, out = [], []
             for t in batch.column(0):
                 words = hasher(t.as_py() or "")
@@ -130,7 +130,7 @@ def _verify_pairs(pairs: DataFrame) -> DataFrame:
     """(a, b) of rows (a, b, ka, kb) that are similar."""
 
     def work(batches):
-        for batch in batches:
+        for batch in slices(batches):
             a, b, ka, kb = (batch.column(k) for k in range(4))
             keep = [similarity(_load(x.as_py()), _load(y.as_py())) > 0 for x, y in zip(ka, kb)]
             mask = pa.array(keep, pa.bool_())
@@ -187,7 +187,7 @@ def _verify_groups(rows: DataFrame) -> DataFrame:
                 return list(_links_in_group(group, last[1] != last[2]))
             return []
 
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for key, i, j, node, comp, side, found in zip(*(c.to_pylist() for c in batch.columns)):
                 if (key, i, j) != last:
@@ -207,7 +207,8 @@ def classes(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: st
     Classes are the connected components of texts with a similarity of 0.8 or more; class_id is the smallest
     doc_id of a class, and that document is the one kept (of several rows with that id, the one with the
     smallest digest; of rows that repeat it wholly, one). Texts without words, null ones too, are equal. A null
-    id is the smallest only in a class of nulls. Other columns are not read.
+    id is the smallest only in a class of nulls; two unlike texts under one id are two classes with that id. Other
+    columns are not read.
 
     Equal word sequences are one node from the start, so copies cost nothing further. Candidates first go to one
     pivot in each group of equal sketches, the member that is in the largest groups, which links a group of
@@ -216,7 +217,7 @@ def classes(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: st
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
     sig = ws.save(signatures(src), "signatures")
-    nodes = sig.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("top"), F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
+    nodes = sig.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("top"), F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
     bands = nodes.select("node", "doc_id", F.posexplode("sketch")).select(F.xxhash64("pos", "col").alias("key"), "node", "doc_id")
     bands = ws.save(bands, "bands")
     shared = ws.save(bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
@@ -250,9 +251,9 @@ def classes(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: st
     info = nodes.select("node", "top").join(size, "node").join(labels, "node", "left").select("node", "top", "n", F.coalesce("root", "node").alias("root"))
     info = ws.save(info, "info")
     # the best of a class: a null id sorts last
-    best = info.groupBy("root").agg(F.min(F.struct(F.col("top.doc_id").isNull().alias("none"), "top")).alias("best"), F.sum("n").alias("class_size"))
+    best = info.groupBy("root").agg(F.min("top").alias("best"), F.sum("n").alias("class_size"))
     best = ws.save(best, "best")
-    answer = ws.save(info.join(best, "root").select("node", F.col("best.top.doc_id").alias("class_id"), F.col("best.top.h").alias("best_h"), "class_size"), "answer")
+    answer = ws.save(info.join(best, "root").select("node", F.col("best.doc_id").alias("class_id"), F.col("best.h").alias("best_h"), "class_size"), "answer")
     each = sig.groupBy("doc_id", "h", "node").agg(F.count(F.lit(1)).alias("copies"))
     out = ws.save(each, "rows").join(answer, "node")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))

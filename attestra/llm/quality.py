@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import Workspace, labelled_sample
+from attestra.llm.common import Workspace, labelled_sample, slices
 
 DIMENSIONS = 1 << 16
 TOKEN = regex.compile(r"\S+")
@@ -133,7 +133,7 @@ def fit(ws: Workspace, docs: DataFrame, labels: DataFrame, rating: str = "qualit
 
     def work(batches):
         h = Hasher()
-        for batch in batches:
+        for batch in slices(batches):
             rows = [h.row(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r[0].astype("<u4").tobytes() for r in rows], pa.binary()), pa.array([r[1].astype("<f4").tobytes() for r in rows], pa.binary())], ["label", "doc_id", "at", "value"])
 
@@ -154,7 +154,7 @@ def quality(docs: DataFrame, model: Ordinal, grade: int | None = None, least: fl
 
     def work(batches):
         own, h = Ordinal(weights, thresholds, grades), Hasher(len(weights))
-        for batch in batches:
+        for batch in slices(batches):
             expected, tail = [], []
             for t in batch.column(1):
                 at, v = h.row(t.as_py() or "")

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import Workspace, labelled_sample
+from attestra.llm.common import Workspace, labelled_sample, slices
 
 #: Fixed word lists: function words of the four languages of the corpus.
 THREAT = frozenset("kill hurt destroy burn beat stab shoot töten schlagen verbrennen vernichten tuer frapper brûler détruire matar golpear quemar destruir".split())
@@ -163,7 +163,7 @@ def fit(ws: Workspace, docs: DataFrame, labels: DataFrame, label: str = "toxic",
 
     def measured(batches):
         g = Grammar(insults)
-        for batch in batches:
+        for batch in slices(batches):
             rows_ = [g.measures(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows_], pa.float64()) for k in range(4))], ["label", "a", "b", "c", "d"])
 
@@ -198,7 +198,7 @@ def toxicity(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col
 
     def work(batches):
         g = Grammar(insults, coefficients=coefficients)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t.as_py() or "" for t in batch.column(1)]
             scores = [g.score(t) for t in texts]
             kinds = [pa.bool_(), pa.float64(), pa.int32()]

@@ -39,7 +39,7 @@ def ratio(a: Column, b: Column) -> Column:
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = RADIUS_SITES_M) -> Column:
     """Great-circle distance in metres of coordinates in degrees."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return 2 * radius * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))  # least() would take a missing place for 1
 
 
 def ground_sample_m(altitude: Column, fov_degrees: float, width_px: int) -> Column:

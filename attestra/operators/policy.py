@@ -16,7 +16,7 @@ CONFIDENCE = [50, 60, 70, 80, 90]
 
 def scores(p0: Column, p1: Column, p2: Column, p3: Column) -> tuple[Column, Column, Column]:
     """necessity, sufficiency, nuisance of the probabilities first, without, with only, and beside the evidence."""
-    clip = lambda x, lo: F.greatest(F.lit(lo), F.least(F.lit(1.0), x))
+    clip = lambda x, lo: F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(1.0), x)))
     return clip(p0 - p1, -1.0), clip(1 - F.abs(p0 - p2), -1.0), clip(F.abs(p0 - p3), 0.0)
 
 

@@ -94,23 +94,28 @@ def majority(rows: DataFrame, key: str, vote: str, tie: str = "uncertain") -> Da
     return top.select(key, F.when(F.col("ties") > 1, tie).otherwise(F.col("v")).alias("vote"))
 
 
-HEDGES = ("may", "might", "possibly", "perhaps", "could", "unclear")
-NEGATIONS = ("no", "not", "without", "none", "never")
+#: Words before a term that weaken or deny it (fixed values).
+HEDGES = ("possible", "possibly", "perhaps", "maybe", "may", "might", "appear", "appears", "likely")
+NEGATIONS = ("no", "not", "without", "absent", "lack", "lacks", "neither", "nor")
 
 
 def caption_assertions(rows: DataFrame, text: str, terms: dict[str, list[str]]) -> DataFrame:
-    """What a caption says of each feature: yes, no or uncertain, NULL where it isn't named. A term's five words
-    before decide, a hedge before a negation; of several sentences the last one stands."""
-    sentences = rows.withColumn("_s", F.split(F.lower(F.col(text)), r"[.!?\n]+"))
+    """What a caption says of each feature: yes, no or hedged; no where it isn't named, or there is no caption.
+
+    The five words before a sentence's first term of a feature decide, a hedge before a negation; of several
+    sentences that name the feature the last one stands.
+    """
+    sentences = rows.withColumn("_s", F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"(?<=[.!?;])\s+|\n+"))
     out = []
     for feature, words in terms.items():
-        pattern = rf"\b({'|'.join(words)})\b"
+        pattern = rf"\b(?:{'|'.join(words)})s?\b"
 
         def said(s: Column, pattern: str = pattern) -> Column:
-            before = F.slice(F.filter(F.split(F.substring(s, F.lit(1), F.regexp_instr(s, F.lit(pattern)) - 1), r"[^a-z]+"), lambda w: w != ""), -5, 5)
-            has = lambda ws: F.exists(before, lambda w: w.isin(*ws))
-            return F.when(F.regexp_like(s, F.lit(pattern)), F.when(has(HEDGES), "uncertain").when(has(NEGATIONS), "no").otherwise("yes"))
+            at = F.regexp_instr(s, F.lit(pattern))
+            before = F.filter(F.split(F.substring(s, F.lit(1), at - 1), r"\s+"), lambda w: w != "")
+            near = F.transform(F.slice(before, F.greatest(F.size(before) - 4, F.lit(1)), F.lit(5)), lambda w: F.regexp_replace(w, r"\W", ""))
+            has = lambda ws: F.exists(near, lambda w: w.isin(*ws))
+            return F.when(at > 0, F.when(has(HEDGES), "hedged").when(has(NEGATIONS), "no").otherwise("yes"))
 
-        out.append(F.try_element_at(F.array_compact(F.transform("_s", said)), F.lit(-1)).alias(feature))
+        out.append(F.coalesce(F.try_element_at(F.array_compact(F.transform("_s", said)), F.lit(-1)), F.lit("no")).alias(feature))
     return sentences.select("*", *out).drop("_s")
-

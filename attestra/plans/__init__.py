@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from attestra.plans import log_queries, scoring_queries  # noqa: F401
+from attestra.plans import log_queries, scoring_queries, track_queries  # noqa: F401
 from attestra.plans.registry import QUERIES, SQL
 
 

@@ -108,14 +108,19 @@ def caption_assertions(rows: DataFrame, text: str, terms: dict[str, list[str]])
     sentences = rows.withColumn("_s", F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"(?<=[.!?;])\s+|\n+"))
     out = []
     for feature, words in terms.items():
-        pattern = rf"\b(?:{'|'.join(words)})s?\b"
+        said = F.transform("_s", _stance(rf"\b(?:{'|'.join(words)})s?\b"))
+        out.append(F.coalesce(F.try_element_at(F.array_compact(said), F.lit(-1)), F.lit("no")).alias(feature))
+    return sentences.select("*", *out).drop("_s")
 
-        def said(s: Column, pattern: str = pattern) -> Column:
-            at = F.regexp_instr(s, F.lit(pattern))
-            before = F.filter(F.split(F.substring(s, F.lit(1), at - 1), r"\s+"), lambda w: w != "")
-            near = F.transform(F.slice(before, F.greatest(F.size(before) - 4, F.lit(1)), F.lit(5)), lambda w: F.regexp_replace(w, r"\W", ""))
-            has = lambda ws: F.exists(near, lambda w: w.isin(*ws))
-            return F.when(at > 0, F.when(has(HEDGES), "hedged").when(has(NEGATIONS), "no").otherwise("yes"))
 
-        out.append(F.coalesce(F.try_element_at(F.array_compact(F.transform("_s", said)), F.lit(-1)), F.lit("no")).alias(feature))
-    return sentences.select("*", *out).drop("_s")
+def _stance(pattern: str):
+    """A sentence's word on what the pattern names, NULL if it doesn't name it."""
+
+    def said(s: Column) -> Column:
+        at = F.regexp_instr(s, F.lit(pattern))
+        before = F.filter(F.split(F.substring(s, F.lit(1), at - 1), r"\s+"), lambda w: w != "")
+        near = F.transform(F.slice(before, F.greatest(F.size(before) - 4, F.lit(1)), F.lit(5)), lambda w: F.regexp_replace(w, r"\W", ""))
+        has = lambda ws: F.exists(near, lambda w: w.isin(*ws))
+        return F.when(at > 0, F.when(has(HEDGES), "hedged").when(has(NEGATIONS), "no").otherwise("yes"))
+
+    return said

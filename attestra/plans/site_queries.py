@@ -26,10 +26,10 @@ def q35_view_lattice(t: Tables) -> DataFrame:
 
 def _places(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
-    return t.customer.select("c_custkey", "c_nationkey", (30 + k * 7919 % 10000 / F.lit(1000.0)).alias("lat"), (-110 + k * 104729 % 10000 / F.lit(1000.0)).alias("lon"), pick(k % 3, "development", "validation", "test").alias("split"))
+    return t.customer.select("c_custkey", "c_nationkey", (30 + k * 7919 % 10000 / F.lit(5000.0)).alias("lat"), (-110 + k * 104729 % 10000 / F.lit(5000.0)).alias("lon"), pick(k % 3, "development", "validation", "test").alias("split"))
 
 
-_PLACES = "places as (select c_custkey, c_nationkey, 30 + c_custkey * 7919 % 10000 / 1000e0 as lat, -110 + c_custkey * 104729 % 10000 / 1000e0 as lon, case c_custkey % 3 when 0 then 'development' when 1 then 'validation' else 'test' end as split from customer)"
+_PLACES = "places as (select c_custkey, c_nationkey, 30 + c_custkey * 7919 % 10000 / 5000e0 as lat, -110 + c_custkey * 104729 % 10000 / 5000e0 as lon, case c_custkey % 3 when 0 then 'development' when 1 then 'validation' else 'test' end as split from customer)"
 _D = "2 * 6371008.8e0 * asin(sqrt(least(1, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
 
 

@@ -107,7 +107,7 @@ def segments(rows: DataFrame, track: str, clock: str, lat: str, lon: str, phase:
     """Adds segment_no: a new segment at a gap, a jump, a change of phase, or max_duration after a segment began.
 
     Gaps, jumps and phases are windows; only the duration rule depends on where a segment began, so it alone runs
-    over the already cut pieces, each a group of its own.
+    in Python, over those of the already cut pieces that last so long, each a group of its own.
     """
     w = Window.partitionBy(track).orderBy(clock)
     before = lambda c: F.lag(c).over(w)
@@ -126,8 +126,12 @@ def segments(rows: DataFrame, track: str, clock: str, lat: str, lon: str, phase:
                 marks.append(int(over))
             return pdf.assign(_over=marks)
 
-        keep = ", ".join(f"{c} {k}" for c, k in pieces.dtypes)
-        pieces = pieces.groupBy(track, "_piece").applyInPandas(one, keep + ", _over int")
+        whole = Window.partitionBy(track, "_piece")
+        pieces = pieces.withColumn("_long", F.max(clock).over(whole) - F.min(clock).over(whole) >= max_duration)
+        long = pieces.where("_long").drop("_long")
+        keep = ", ".join(f"{c} {k}" for c, k in long.dtypes)
+        short = pieces.where("not _long").drop("_long").withColumn("_over", F.lit(0))
+        pieces = short.unionByName(long.groupBy(track, "_piece").applyInPandas(one, keep + ", _over int"))
     else:
         pieces = pieces.withColumn("_over", F.lit(0))
     step = F.sum(F.col("_cut") + F.col("_over")).over(w.rowsBetween(Window.unboundedPreceding, 0))

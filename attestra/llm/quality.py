@@ -7,9 +7,9 @@ grade selects documents; the expected grade ranks them.
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,62 +18,65 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import Workspace, labelled_sample, slices
+from attestra.llm.common import Workspace, in_worker, labelled_sample, slices
 
 DIMENSIONS = 1 << 16
-TOKEN = regex.compile(r"\S+")
-_SHAPES = ((regex.compile(r"\p{Lu}+"), "A"), (regex.compile(r"\p{Ll}+"), "a"), (regex.compile(r"\p{N}+"), "9"), (regex.compile(r"[^\p{L}\p{N}]+"), "."))
+TOKEN = re.compile(r"\S+")
+#: Letters and digits by kind; marks that tables, code and shouting leave stay, other marks are one kind.
+_SHAPES = ((regex.compile(r"\p{Lu}+"), "A"), (regex.compile(r"\p{Ll}+"), "a"), (regex.compile(r"[\p{L}\p{M}--[Aa]]+", regex.V1), "l"), (regex.compile(r"\p{N}+"), "9"), (regex.compile(r"[^Aal9.,!?$%&*#|@=<>{}]"), "."))
+MAX_TOKENS = 200_000
 
 
 class Hasher:
-    """Whole texts to sparse rows. Features: words, forms (case, digits, marks), pairs of forms, repeats."""
+    """Whole texts to sparse rows. Features: words, forms (case, digits, marks), pairs of forms, repeats.
+
+    A token's places are worked out once and kept in arrays, so a text is numbers from its first look-up on.
+    """
 
     def __init__(self, dimensions: int = DIMENSIONS):
         self.dimensions = dimensions
-        self._known: dict[str, tuple[int, int, str]] = {}
-        self._pairs: dict[tuple[str, str], int] = {}
+        self._restart()
+
+    def _restart(self) -> None:
+        self._number: dict[str, int] = {}
+        self._words = np.zeros(1024, np.int64)
+        self._forms = np.zeros(1024, np.int64)
 
     def place(self, feature: str) -> int:
         return zlib.crc32(feature.encode(errors="replace")) % self.dimensions
 
-    def _token(self, token: str) -> tuple[int, int, str]:
-        known = self._known.get(token)
-        if known is None:
-            shape = token
-            for pattern, name in _SHAPES:
-                shape = pattern.sub(name, shape) if name != "." else shape
-            shape = regex.sub(r"[^\p{L}\p{N}]", lambda m: m.group() if m.group() in ".,!?$%&*#|@=<>{}" else ".", shape)[:12]
-            if len(self._known) > 400_000:
-                self._known.clear()
-            known = self._known[token] = (self.place("w" + token.lower()), self.place("s" + shape), shape)
-        return known
+    def _learn(self, token: str) -> None:
+        k = len(self._number)
+        if k == len(self._words):
+            self._words, self._forms = (np.concatenate([x, np.zeros_like(x)]) for x in (self._words, self._forms))
+        form = token
+        for pattern, name in _SHAPES:
+            form = pattern.sub(name, form)
+        self._words[k], self._forms[k] = self.place("w" + token.lower()), self.place("s" + form[:12])
+        self._number[token] = k
 
     def row(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted places and values: 1 + log of the share-weighted count, scaled to length 1 by feature group."""
-        words, shapes, pairs, repeats = [], [], [], 0
-        before, last = "^", None
-        for token in TOKEN.findall(text):
-            w, s, shape = self._token(token)
-            words.append(w)
-            shapes.append(s)
-            p = self._pairs.get((before, shape))
-            if p is None:
-                if len(self._pairs) > 100_000:
-                    self._pairs.clear()
-                p = self._pairs[before, shape] = self.place(f"p{before} {shape}")
-            pairs.append(p)
-            repeats += token == last
-            before, last = shape, token
-        n = len(words)
-        at, values = [], []
-        for group, weight in ((words, 1.0), (shapes, 2.0), (pairs, 2.0)):
-            if group:
-                k, c = np.unique(np.array(group), return_counts=True)
-                v = np.sqrt(c / n)
-                at.append(k)
-                values.append(weight * v)
-        at.append(np.array([self.place("repeats"), self.place("distinct"), self.place("size")]))
-        values.append(np.array([3.0 * (repeats / n if n else 0.0), 3.0 * (len(set(words)) / n if n else 0.0), 0.3 * np.log1p(n)]))
+        """Sorted places and values: roots of shares, by group of features."""
+        tokens = TOKEN.findall(text)
+        if len(self._number) > MAX_TOKENS:
+            self._restart()
+        for token in set(tokens).difference(self._number):
+            self._learn(token)
+        n = len(tokens)
+        at = [np.array([self.place("repeats"), self.place("distinct"), self.place("size")])]
+        values = [np.array([0.0, 0.0, 0.3 * np.log1p(n)])]
+        if n:
+            found = np.fromiter(map(self._number.__getitem__, tokens), np.int64, n)
+            words, times = np.unique(found, return_counts=True)
+            values[0][:2] = 3.0 * np.count_nonzero(found[1:] == found[:-1]) / n, 3.0 * len(words) / n
+            at.append(self._words[words])
+            values.append(np.sqrt(times / n))
+            forms = self._forms[found]
+            pairs = (np.concatenate(([0], forms[:-1])) * 1_000_003 + forms * 8_191 + 12_345) % self.dimensions
+            for group in (forms, pairs):
+                place, times = np.unique(group, return_counts=True)
+                at.append(place)
+                values.append(2.0 * np.sqrt(times / n))
         places, inverse = np.unique(np.concatenate(at), return_inverse=True)
         return places, np.bincount(inverse, np.concatenate(values))
 
@@ -132,7 +135,7 @@ def fit(ws: Workspace, docs: DataFrame, labels: DataFrame, rating: str = "qualit
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
 
     def work(batches):
-        h = Hasher()
+        h = in_worker(("hasher", DIMENSIONS), Hasher)
         for batch in slices(batches):
             rows = [h.row(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r[0].astype("<u4").tobytes() for r in rows], pa.binary()), pa.array([r[1].astype("<f4").tobytes() for r in rows], pa.binary())], ["label", "doc_id", "at", "value"])
@@ -153,7 +156,7 @@ def quality(docs: DataFrame, model: Ordinal, grade: int | None = None, least: fl
     place = (grades.index(grade) if grade is not None else len(grades) - 1) - 1
 
     def work(batches):
-        own, h = Ordinal(weights, thresholds, grades), Hasher(len(weights))
+        own, h = Ordinal(weights, thresholds, grades), in_worker(("hasher", len(weights)), lambda: Hasher(len(weights)))
         for batch in slices(batches):
             expected, tail = [], []
             for t in batch.column(1):
@@ -176,7 +179,7 @@ def selected_rows(docs: DataFrame, model: Ordinal, grade: int | None = None, lea
 
     @F.pandas_udf("double")
     def tail(texts: pd.Series) -> pd.Series:
-        own, h = Ordinal(weights, thresholds, grades), _hasher(len(weights))
+        own, h = Ordinal(weights, thresholds, grades), in_worker(("hasher", len(weights)), lambda: Hasher(len(weights)))
         out = []
         for t in texts:
             at, v = h.row(t or "")
@@ -184,9 +187,3 @@ def selected_rows(docs: DataFrame, model: Ordinal, grade: int | None = None, lea
         return pd.Series(out, dtype=float)
 
     return docs.where(tail(F.col(text_col)) >= least)
-
-
-@lru_cache(1)
-def _hasher(dimensions: int) -> Hasher:
-    """One hasher for a Python worker, as a pandas UDF is called anew for every batch."""
-    return Hasher(dimensions)

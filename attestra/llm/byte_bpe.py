@@ -13,7 +13,6 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import slices
+from attestra.llm.common import in_worker, slices
 
 #: Kept transitions and kept matches; beyond these the tables start anew, so memory stays bounded.
 MAX_TRANSITIONS = 600_000
@@ -205,7 +204,6 @@ class Decoder:
         return "".join(self.stream(np.frombuffer(packed, "<u4").tolist()))
 
 
-@lru_cache(2)
 def load(path: str, pattern: str) -> tuple[Transducer, Decoder]:
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
@@ -222,7 +220,7 @@ def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     """
 
     def work(batches):
-        fst, decoder = load(ranks_path, pattern)
+        fst, decoder = in_worker(("byte-bpe", ranks_path, pattern), lambda: load(ranks_path, pattern))
         for batch in slices(batches):
             rows = {"doc_id": batch.column(0), "n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if ids else {})
             for value in batch.column(1):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -52,6 +54,25 @@ def slices(batches, rows: int = 256):
             yield batch.slice(at, rows)
 
 
+@atexit.register
+def _sweep_at_exit() -> None:
+    """Scratch tables go with the driver's process, where its JVM still answers."""
+    with contextlib.suppress(Exception):
+        Workspace.sweep()
+
+
+_held: list = [None, None]
+
+
+def in_worker(key, make):
+    """An object that a Python worker keeps from task to task, such as a table of words met so far. Only the last
+    one asked for is kept, so that what one operator gathered makes room for the next one's."""
+    if _held[0] != key:
+        _held[:] = [None, None]
+        _held[:] = [key, make()]
+    return _held[1]
+
+
 #: Bits of the row filter: 2 MiB however many rows it stands for.
 FILTER_BITS = 1 << 24
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import Workspace, components, flag_possible, slices
+from attestra.llm.common import Workspace, components, flag_possible, in_worker, slices
 from attestra.llm.words import WordHasher, mix, windows
 
 K, LEAST, SKETCHES, SIMILARITY = 5, 3, 16, 0.8
@@ -91,7 +91,7 @@ def signatures(src: DataFrame) -> DataFrame:
     """(doc_id, h, node, n, sketch) of (doc_id, h, text): node is a digest of the sequence of words."""
 
     def work(batches):
-        hasher = WordHasher()
+        hasher = in_worker("word-hasher", WordHasher)
         for batch in slices(batches):
             nodes, sizes, sketches = [], [], []
             for t in batch.column(2):
@@ -110,7 +110,7 @@ def _contents(src: DataFrame) -> DataFrame:
     """(node, kmers) of (text): what verification compares."""
 
     def work(batches):
-        hasher = WordHasher()
+        hasher = in_worker("word-hasher", WordHasher)
         for batch in slices(batches):
             nodes, out = [], []
             for t in batch.column(0):

@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from attestra.llm.common import Workspace, slices
+from attestra.llm.common import Workspace, in_worker, slices
 
 CAPACITY, END_ID = 4096, 1
 #: A sequence with at most this many free places is done.
 SLACK = 8
 #: Items that a task packs at a time; this bounds its memory.
 CHUNK = 200_000
-MAX_WORDS = 900_000
+MAX_WORDS = 300_000
 
 #: The tokenizer's own splitting pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -79,11 +78,6 @@ class Words:
         return b"".join(map(known.__getitem__, words)) + end
 
 
-@lru_cache(2)
-def load(path: str) -> Words:
-    return Words(path)
-
-
 def best_fit(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     """Items, largest first, each into the open bin with the least room that still holds it: bins of item numbers.
 
@@ -161,7 +155,7 @@ def pack(ws: Workspace, docs: DataFrame, tokenizer_path: str, id_col: str = "doc
     schema = f"sequence_id long, used int, members array<struct<doc_id:{kind},piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
 
     def tokenise(batches):
-        words, bins = load(tokenizer_path), None
+        words, bins = in_worker(("words", tokenizer_path), lambda: Words(tokenizer_path)), None
         for batch in slices(batches):
             bins = bins or _Bins(0, batch.schema.field(0).type, capacity)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):

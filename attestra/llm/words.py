@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 WORD = re.compile(r"\w+")
-MAX_KNOWN = 250_000
+MAX_KNOWN = 150_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _SHIFT = np.uint64(32)

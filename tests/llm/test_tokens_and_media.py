@@ -14,13 +14,14 @@ from attestra.llm.byte_bpe import Decoder, byte_bpe, load
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 RANKS = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+LOADED = load(PATH, P.PATTERN)
 TIKTOKEN = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 
 
 @given(st.text(max_size=80) | st.text(alphabet="ab'st \né中\U0001f469", max_size=200) | st.text(alphabet="a ", min_size=200, max_size=600))
 @settings(deadline=None, max_examples=300)
 def test_encoding_agrees(text):
-    fst, decoder = load(PATH, P.PATTERN)
+    fst, decoder = LOADED
     text = text.encode("utf-8", "ignore").decode()
     packed = fst.encode(text)
     assert [int.from_bytes(packed[i : i + 4], "little") for i in range(0, len(packed), 4)] == TIKTOKEN.encode_ordinary(text)

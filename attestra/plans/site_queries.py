@@ -208,9 +208,15 @@ def q46_benjamini_hochberg(t: Tables) -> DataFrame:
     return _R(inference.benjamini_hochberg(rows, "p", "p_size").select("p_partkey", "p", "q"))
 
 
+#: Sites that the driver draws from; with more of them q47 raises an error.
+MAX_SITES = 20_000
+
+
 def _units(t: Tables) -> list[tuple[str, str]]:
-    """Sites by group; what is resampled is a bounded list of sites, not rows."""
-    rows = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", F.col("s_suppkey").cast("string")).limit(20_000).collect()
+    """Sites by group; what is resampled is a bounded list of sites, not rows. None is left out: too many raise."""
+    rows = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", F.col("s_suppkey").cast("string")).limit(MAX_SITES + 1).collect()
+    if len(rows) > MAX_SITES:
+        raise ValueError(f"q47_hierarchical_bootstrap draws from {MAX_SITES} sites at most; there are more")
     return [(r[0], r[1]) for r in rows]
 
 

@@ -169,7 +169,7 @@ def _links_in_group(rows: list[tuple[bytes, bytes, np.ndarray, int]], cross: boo
         if not len(terms):
             continue
         shared = np.bincount(np.concatenate([listed[begin[t] : begin[t + 1]] for t in terms.tolist()]), minlength=len(rows))
-        for j in np.flatnonzero(shared * (1 + SIMILARITY) >= SIMILARITY * (sizes[i] + sizes)).tolist():
+        for j in np.flatnonzero(9 * shared >= 4 * (sizes[i] + sizes)).tolist():
             other = rows[j]
             if j > i and (not cross or side != other[3]) and find(own) != find(other[1]) and similarity(found, other[2]) > 0:
                 parent[find(own)] = find(other[1])

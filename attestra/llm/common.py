@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only where the session has none."""
+    """The folder named by spark.checkpoint.dir. A temporary one is set only where the session has none and driver and
+    executors are one process; elsewhere executors would each write to their own disk."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="attestra-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -23,13 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
 class Workspace:
     """Scratch tables of one operator call. They cut lineage, outlive executors and are read by any of them."""
 
-    _open: list["Workspace"] = []
-
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/attestra-{label}-{uuid.uuid4().hex}"
         self._saved: dict[str, str] = {}
-        Workspace._open.append(self)
+        atexit.register(self._at_exit)
 
     def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         at = self._saved[name] = f"{self.path}/{len(self._saved)}-{uuid.uuid4().hex[:6]}-{name}"
@@ -40,11 +41,23 @@ class Workspace:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self._saved.pop(name) if name else self.path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
-    @classmethod
-    def sweep(cls) -> None:
-        """Delete every scratch table of this driver. Only for callers whose earlier results are all written."""
-        while cls._open:
-            cls._open.pop().delete()
+    def _at_exit(self) -> None:
+        """Scratch tables go with the driver's process, where its JVM still answers."""
+        with contextlib.suppress(Exception):
+            self.delete()
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of one's own, each made longer until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"__att_{name}"
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
 
 
 def slices(batches, rows: int = 256):
@@ -54,13 +67,6 @@ def slices(batches, rows: int = 256):
             yield batch.slice(at, rows)
 
 
-@atexit.register
-def _sweep_at_exit() -> None:
-    """Scratch tables go with the driver's process, where its JVM still answers."""
-    with contextlib.suppress(Exception):
-        Workspace.sweep()
-
-
 _held: list = [None, None]
 
 
@@ -84,20 +90,21 @@ def flag_possible(df: DataFrame, key: Column, members: DataFrame, member_key: Co
     what bounds the broadcast. True needs an exact join to follow; where the filter fills up every row is true
     and nothing is lost.
     """
+    pos, bucket, bits_, at = free_names(df, "pos", "bucket", "bits", "at")
     place = lambda k: F.pmod(F.xxhash64(k), F.lit(bits))
     bitmap = (
-        members.select((place(member_key) + 1).alias("__att_pos"))  # bitmap positions are counted from 1
-        .groupBy(F.expr("bitmap_bucket_number(__att_pos)").alias("__att_bucket"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(__att_pos))").alias("__att_bits"))
+        members.select((place(member_key) + 1).alias(pos))  # bitmap positions are counted from 1
+        .groupBy(F.expr(f"bitmap_bucket_number({pos})").alias(bucket))
+        .agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({pos}))").alias(bits_))
     )
-    byte = F.conv(F.hex(F.expr("substring(__att_bits, cast(floor((__att_at % 32768) / 8) as int) + 1, 1)")), 16, 10).cast("int")
-    bit = F.expr("shiftleft(1, cast(__att_at % 8 as int))")
+    byte = F.conv(F.hex(F.expr(f"substring({bits_}, cast(floor(({at} % 32768) / 8) as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.expr(f"shiftleft(1, cast({at} % 8 as int))")
     return (
-        df.withColumn("__att_at", place(key))
-        .withColumn("__att_bucket", F.floor(F.col("__att_at") / 32768) + 1)
-        .join(F.broadcast(bitmap), "__att_bucket", "left")
+        df.withColumn(at, place(key))
+        .withColumn(bucket, F.floor(F.col(at) / 32768) + 1)
+        .join(F.broadcast(bitmap), bucket, "left")
         .withColumn(flag, F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False)))
-        .drop("__att_at", "__att_bucket", "__att_bits")
+        .drop(at, bucket, bits_)
     )
 
 

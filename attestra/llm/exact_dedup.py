@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import Workspace, flag_possible
+from attestra.llm.common import Workspace, flag_possible, free_names
 
 #: Rows of a memtable, and the least number of runs: copies of one text spread over the runs.
 MEMTABLE_ROWS = 4_000_000
@@ -101,12 +101,17 @@ class ExactDedup:
         return each.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
     def kept_rows(self, docs: DataFrame) -> DataFrame:
-        """The rows of docs that stay, with all their columns. Rows whose id has no copy aren't shuffled."""
+        """The rows of docs that stay, with all their columns. Rows whose id has no copy aren't shuffled.
+
+        Null and empty texts are equal; of rows that repeat id and text one stays, whatever their other columns; an
+        empty table stays empty.
+        """
         rows = self.ws.save(self.resolve(docs, self.compact(self.flush(docs))), "rows")
         mixed = rows.where("group_size > 1")
         names = docs.columns
-        tagged = docs.withColumns({"__att_id": F.col(self.id_col), "__att_sha": F.unhex(F.sha2(normalised(F.col(self.text_col)), 256))})
-        told = flag_possible(tagged, F.col("__att_id"), mixed, F.col("doc_id"), "__att_maybe")
-        stay = rows.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("__att_kid"), F.col("sha").alias("__att_ksha"))
-        again = told.where("__att_maybe").join(stay, F.col("__att_id").eqNullSafe(F.col("__att_kid")) & (F.col("__att_sha") == F.col("__att_ksha")), "left_semi")
-        return told.where("not __att_maybe").select(names).unionByName(again.dropDuplicates(["__att_id", "__att_sha"]).select(names))
+        id_, sha, maybe, kid, ksha = free_names(docs, "id", "sha", "maybe", "kid", "ksha")
+        tagged = docs.withColumns({id_: F.col(self.id_col), sha: F.unhex(F.sha2(normalised(F.col(self.text_col)), 256))})
+        told = flag_possible(tagged, F.col(id_), mixed, F.col("doc_id"), maybe)
+        stay = rows.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias(kid), F.col("sha").alias(ksha))
+        again = told.where(maybe).join(stay, F.col(id_).eqNullSafe(F.col(kid)) & (F.col(sha) == F.col(ksha)), "left_semi")
+        return told.where(~F.col(maybe)).select(names).unionByName(again.dropDuplicates([id_, sha]).select(names))

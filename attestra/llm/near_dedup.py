@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestra.llm.common import Workspace, components, flag_possible, in_worker, slices
+from attestra.llm.common import Workspace, components, flag_possible, free_names, in_worker, slices
 from attestra.llm.words import WordHasher, mix, windows
 
 K, LEAST, SKETCHES, SIMILARITY = 5, 3, 16, 0.8
@@ -262,11 +262,16 @@ def classes(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def kept_rows(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that another of their class stands for, with all columns."""
+    """docs without the rows that another of their class stands for, with all columns.
+
+    Null and empty texts are one class, of which one row stays; of rows that repeat id and text one stays, whatever
+    their other columns. An empty table stays empty. Only rows whose id has a near copy are shuffled.
+    """
     out = ws.save(classes(ws, docs, id_col, text_col), "classes")
     multiple = out.where("class_size > 1")
-    told = docs.withColumns({"__att_id": F.col(id_col), "__att_h": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    told = flag_possible(told, F.col("__att_id"), multiple, F.col("doc_id"), "__att_maybe")
-    stay = out.where("kept").select(F.col("doc_id").alias("__att_kid"), F.col("h").alias("__att_kh"))
-    again = told.where("__att_maybe").join(stay, F.col("__att_id").eqNullSafe(F.col("__att_kid")) & (F.col("__att_h") == F.col("__att_kh")), "left_semi")
-    return told.where("not __att_maybe").select(docs.columns).unionByName(again.dropDuplicates(["__att_id", "__att_h"]).select(docs.columns))
+    id_, h, maybe, kid, kh = free_names(docs, "id", "h", "maybe", "kid", "kh")
+    told = docs.withColumns({id_: F.col(id_col), h: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    told = flag_possible(told, F.col(id_), multiple, F.col("doc_id"), maybe)
+    stay = out.where("kept").select(F.col("doc_id").alias(kid), F.col("h").alias(kh))
+    again = told.where(maybe).join(stay, F.col(id_).eqNullSafe(F.col(kid)) & (F.col(h) == F.col(kh)), "left_semi")
+    return told.where(~F.col(maybe)).select(docs.columns).unionByName(again.dropDuplicates([id_, h]).select(docs.columns))

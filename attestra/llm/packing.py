@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,14 @@ CAPACITY, END_ID = 4096, 1
 SLACK = 8
 #: Items that a task packs at a time; this bounds its memory.
 CHUNK = 200_000
-MAX_WORDS = 300_000
+#: Pieces, and words, that a worker knows at most (about 250 MB of them).
+MAX_WORDS = 800_000
 
 #: The tokenizer's own splitting pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Without one of these a text is composed already, lower() maps each character by itself, and split() cuts
 #: where the tokenizer sees white space.
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"  # marks of the pattern's last part, whole runs of which are one word
 _UNUSUAL = re.compile("[^\t\n\r -~\xa0-\u012f\u0131-\u024f]")
 
 
@@ -53,7 +56,10 @@ class Words:
         if len(self.words) > MAX_WORDS:
             self.words.clear()
         find, words = self.split.findall, self.words
-        parts = {p: find(p) for p in pieces}
+        parts = {}
+        for p in pieces:  # mostly letters with some marks behind them, which need no pattern
+            letters = p.rstrip(_TAIL)
+            parts[p] = ((letters, p[len(letters) :]) if len(letters) < len(p) else (p,)) if letters.isalpha() else find(p)
         new = list({w for ws in parts.values() for w in ws if w not in words})
         if new:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
@@ -67,15 +73,20 @@ class Words:
 
     def packed(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of the text, then of the end of a document."""
-        end = END_ID.to_bytes(4, "little")
-        if _UNUSUAL.search(text) or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
-        words, known = text.lower().split(), self.known
+        return next(self.all_packed([text]))
+
+    def all_packed(self, texts: list[str]) -> Iterator[bytes]:
+        """packed() of each text; what the texts have that isn't known is encoded together."""
+        end, known = END_ID.to_bytes(4, "little"), self.known
+        odd = [k for k, t in enumerate(texts) if _UNUSUAL.search(t) or any(s in t for s in self.special)]
+        whole = dict(zip(odd, self.tokenizer.encode_batch_fast([texts[k] for k in odd], add_special_tokens=False))) if odd else {}
+        parts = [None if k in whole else t.lower().split() for k, t in enumerate(texts)]
         if len(known) > MAX_WORDS:
             known.clear()
-        if missing := set(words).difference(known):
+        if missing := set(chain.from_iterable(p for p in parts if p)).difference(known):
             self._learn(missing)
-        return b"".join(map(known.__getitem__, words)) + end
+        for k, p in enumerate(parts):
+            yield (np.array(whole[k].ids, "<u4").tobytes() if p is None else b"".join(map(known.__getitem__, p))) + end
 
 
 def best_fit(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
@@ -156,10 +167,9 @@ def pack(ws: Workspace, docs: DataFrame, tokenizer_path: str, id_col: str = "doc
 
     def tokenise(batches):
         words, bins = in_worker(("words", tokenizer_path), lambda: Words(tokenizer_path)), None
-        for batch in slices(batches):
+        for batch in slices(batches, 64):  # the ids of so many texts are in memory at a time
             bins = bins or _Bins(0, batch.schema.field(0).type, capacity)
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packed = words.packed(text.as_py() or "")
+            for doc_id, packed in zip(batch.column(0).to_pylist(), words.all_packed([t or "" for t in batch.column(1).to_pylist()])):
                 for piece, start in enumerate(range(0, len(packed) // 4, capacity)):
                     part = packed[4 * start : 4 * (start + capacity)]
                     yield from bins.add([(doc_id, piece, start, len(part) // 4, zlib.crc32(part), 0)])

@@ -70,3 +70,12 @@ def test_words_agree_with_the_tokenizer(text):
 
 
 WORDS = Words(PATH)
+
+
+def test_as_few_sequences_as_one_best_fit(spark, ws, sf_dir):
+    """The rounds lose nothing against one global best fit, which here is as few as the sum of the lengths allows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = pack(ws, docs, PATH).collect()
+    total = sum(r.length for r in rows)
+    used = len({r.sequence_id for r in rows})
+    assert used == len(best_fit([r.length for r in rows], 4096)) == -(-total // 4096)

@@ -79,32 +79,30 @@ def in_worker(key, make):
     return _held[1]
 
 
-#: Bits of the row filter: 2 MiB however many rows it stands for.
+#: Bits of the row filter: 262,144 long numbers, however many rows they stand for.
 FILTER_BITS = 1 << 24
 
 
 def flag_possible(df: DataFrame, key: Column, members: DataFrame, member_key: Column, flag: str = "_maybe", bits: int = FILTER_BITS) -> DataFrame:
     """df with a boolean column: false where the key is surely none of the members, true for members and some others.
 
-    A one-hash Bloom filter made and read by SQL functions alone. It has `bits` bits (bits / 8 bytes), which is
-    what bounds the broadcast. True needs an exact join to follow; where the filter fills up every row is true
-    and nothing is lost.
+    A one-hash Bloom filter made and read by SQL functions alone. It has `bits` bits, 64 to a row, which is what
+    bounds the broadcast. True needs an exact join to follow; where the filter fills up every row is true and
+    nothing is lost.
     """
-    pos, bucket, bits_, at = free_names(df, "pos", "bucket", "bits", "at")
+    row, held, at = free_names(df, "row", "held", "at")
     place = lambda k: F.pmod(F.xxhash64(k), F.lit(bits))
-    bitmap = (
-        members.select((place(member_key) + 1).alias(pos))  # bitmap positions are counted from 1
-        .groupBy(F.expr(f"bitmap_bucket_number({pos})").alias(bucket))
-        .agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({pos}))").alias(bits_))
+    filter_ = (
+        members.select(place(member_key).alias(at))
+        .groupBy(F.shiftright(at, 6).alias(row))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast({at} & 63 as int))")).alias(held))
     )
-    byte = F.conv(F.hex(F.expr(f"substring({bits_}, cast(floor(({at} % 32768) / 8) as int) + 1, 1)")), 16, 10).cast("int")
-    bit = F.expr(f"shiftleft(1, cast({at} % 8 as int))")
     return (
         df.withColumn(at, place(key))
-        .withColumn(bucket, F.floor(F.col(at) / 32768) + 1)
-        .join(F.broadcast(bitmap), bucket, "left")
-        .withColumn(flag, F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False)))
-        .drop(at, bucket, bits_)
+        .withColumn(row, F.shiftright(at, 6))
+        .join(F.broadcast(filter_), row, "left")
+        .withColumn(flag, F.coalesce(F.expr(f"shiftright({held}, cast({at} & 63 as int)) & 1") == 1, F.lit(False)))
+        .drop(at, row, held)
     )
 
 

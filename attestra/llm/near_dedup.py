@@ -116,14 +116,14 @@ def _contents(src: DataFrame) -> DataFrame:
             for t in batch.column(0):
                 words = hasher(t.as_py() or "")
                 nodes.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest())
-                out.append((labelled(kmers(words)) >> np.uint64(32)).astype("<u4").tobytes())
+                out.append(labelled(kmers(words)).astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(out, pa.binary())], ["node", "kmers"])
 
     return src.select("text").mapInArrow(work, "node binary, kmers binary")
 
 
 def _load(data: bytes) -> np.ndarray:
-    return labelled(np.frombuffer(data, "<u4").astype(np.uint64))
+    return np.frombuffer(data, "<u8").astype(np.uint64)
 
 
 def _verify_pairs(pairs: DataFrame) -> DataFrame:

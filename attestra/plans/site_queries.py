@@ -50,12 +50,12 @@ def q36b_split_independence(t: Tables) -> DataFrame:
 
 
 @query("""
-with r as (select l_partkey as identifier, l_suppkey as site, case l_suppkey % 3 when 0 then 'development' when 1 then 'validation' else 'test' end as split from lineitem where l_quantity > 49)
+with r as (select l_partkey as identifier, l_suppkey as site, case l_suppkey % 3 when 0 then 'development' when 1 then 'validation' else 'test' end as split from lineitem)
 select identifier, string_agg(distinct split, '+' order by split) as splits, count(distinct split) as n_splits, count(distinct site) as n_sites from r group by 1 having count(distinct split) > 1
 """)
 def q37_leakage(t: Tables) -> DataFrame:
     """Source ids that sites of several splits share."""
-    rows = t.lineitem.where("l_quantity > 49").select("l_partkey", "l_suppkey", pick(F.col("l_suppkey") % 3, "development", "validation", "test").alias("split"))
+    rows = t.lineitem.select("l_partkey", "l_suppkey", pick(F.col("l_suppkey") % 3, "development", "validation", "test").alias("split"))
     return cohort.leakage(rows, "l_partkey", "split", "l_suppkey")
 
 
@@ -147,7 +147,7 @@ with i as (
  union all select 'discount_high', 'warning', cast(l_orderkey as varchar) from lineitem where l_discount > 0.095
  union all select 'order_without_lines', 'error', cast(o_orderkey as varchar) from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)
  union all select 'shipped_before_ordered', 'error', cast(l_orderkey as varchar) from lineitem join orders on l_orderkey = o_orderkey where l_shipdate < o_orderdate
- union all select 'missing_line', 'warning', k.o_orderkey || '/' || n from (select distinct o_orderkey from orders where o_orderkey % 50 = 0) k, range(1, 5) r(n) where not exists (select 1 from lineitem where l_orderkey = k.o_orderkey and l_linenumber = n))
+ union all select 'missing_line', 'warning', k.o_orderkey || '/' || n from (select distinct o_orderkey from orders) k, range(1, 5) r(n) where not exists (select 1 from lineitem where l_orderkey = k.o_orderkey and l_linenumber = n))
 select code, severity, count(*) as n, min(artifact) as first_artifact from i group by all
 """)
 def q43_rules(t: Tables) -> DataFrame:
@@ -156,7 +156,7 @@ def q43_rules(t: Tables) -> DataFrame:
     dup = lines.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     orders = t.orders.select("o_orderkey", "o_orderdate")
     present = lines.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("line"))
-    gaps = Q.missing_combinations(present, orders.where("o_orderkey % 50 = 0").select("o_orderkey"), line=[1, 2, 3, 4])
+    gaps = Q.missing_combinations(present, orders.select("o_orderkey"), line=[1, 2, 3, 4])
     found = Q.all_issues(
         Q.issues(dup, "duplicate_key", "error", F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))),
         Q.issues(lines.where("l_discount > 0.095"), "discount_high", "warning", F.col("l_orderkey")),
@@ -208,31 +208,45 @@ def q46_benjamini_hochberg(t: Tables) -> DataFrame:
     return _R(inference.benjamini_hochberg(rows, "p", "p_size").select("p_partkey", "p", "q"))
 
 
-#: Sites that the driver draws from; with more of them q47 raises an error.
-MAX_SITES = 20_000
+#: As many replicates as the reported intervals take.
+REPLICATES = 2_000
 
 
-def _units(t: Tables) -> list[tuple[str, str]]:
-    """Sites by group; what is resampled is a bounded list of sites, not rows. None is left out: too many raise."""
-    rows = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", F.col("s_suppkey").cast("string")).limit(MAX_SITES + 1).collect()
-    if len(rows) > MAX_SITES:
-        raise ValueError(f"q47_hierarchical_bootstrap draws from {MAX_SITES} sites at most; there are more")
-    return [(r[0], r[1]) for r in rows]
+def _weights_sql(units: str, seed: int) -> str:
+    """Common table expressions up to drawn(r, unit, w), from a query for (g, unit)."""
+    draw = lambda parts: f"cast('0x' || substr(md5('{seed}:' || {parts}), 1, 8) as bigint)"
+    return f"""
+own as (select g, unit, row_number() over (partition by g order by unit) - 1 as pos, count(*) over (partition by g) as size from (select distinct g, unit from ({units}))),
+grp as (select g, max(size) as size, row_number() over (order by g) - 1 as number from own group by g),
+slot as (select r, k, {draw("r || ':' || k")} % (select count(*) from grp) as number from range({REPLICATES}) x(r), (select number as k from grp)),
+place as (select r, k, g, size, unnest(range(size)) as s from slot join grp using (number)),
+drawn as (select r, unit, count(*) as w from (select r, g, {draw("r || ':' || k || ':' || s")} % size as pos from place) join own using (g, pos) group by all)"""
 
 
-@query(None)
+@query(f"""
+with {SCORED}, {_weights_sql("select r_name as g, cast(s_suppkey as varchar) as unit from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey", 7)},
+sums as (select model, cast(site_id as varchar) as unit, sum(predicted) as a, sum(1e0) as b from scored where predicted is not null and not true_positive group by all),
+each as (select model, r, sum(w * a) / nullif(sum(w * b), 0) as x from sums join drawn using (unit) group by all),
+i as (select model, count(x) as iterations, quantile_cont(x, 0.025) as low, quantile_cont(x, 0.975) as high from each where x is not null group by 1)
+select model, round(e.estimate, 6) as estimate, round(low, 6) as low, round(high, 6) as high, iterations from (select model, sum(a) / nullif(sum(b), 0) as estimate from sums group by 1) e join i using (model)
+""")
 def q47_hierarchical_bootstrap(t: Tables) -> DataFrame:
     """Interval of the false positive rate, resampling groups and then sites in them."""
     rows = scored(t).where("predicted is not null and not true_positive").select("model", "site_id", "predicted", F.lit(1.0).alias("one"))
-    return _R(inference.bootstrap_ratio(rows, inference.bootstrap_weights(t.spark, _units(t), 200, 7), "site_id", "predicted", "one", "model"))
+    sites = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "s_suppkey")
+    return _R(inference.bootstrap_ratio(rows, inference.bootstrap_weights(t.spark, sites, REPLICATES, 7), "site_id", "predicted", "one", "model"))
 
 
-@query(None)
+@query(f"""
+with {_weights_sql("select 'all' as g, strftime(l_shipdate, '%Y-%m') as unit from lineitem", 11)},
+sums as (select strftime(l_shipdate, '%Y-%m') as unit, sum(l_extendedprice) as a, sum(1e0) as b from lineitem group by 1),
+each as (select r, sum(w * a) / nullif(sum(w * b), 0) as x from sums join drawn using (unit) group by all)
+select (select round(sum(a) / sum(b), 6) from sums) as estimate, round(quantile_cont(x, 0.025), 6) as low, round(quantile_cont(x, 0.975), 6) as high, count(x) as iterations from each
+""")
 def q48_segment_bootstrap(t: Tables) -> DataFrame:
     """Interval of mean price a line, resampling ship modes of time (months)."""
     rows = t.lineitem.select(F.date_format("l_shipdate", "yyyy-MM").alias("month"), "l_extendedprice", F.lit(1.0).alias("one"))
-    months = [("all", r[0]) for r in rows.select("month").distinct().orderBy("month").limit(5_000).collect()]
-    return _R(inference.bootstrap_ratio(rows, inference.bootstrap_weights(t.spark, months, 200, 11), "month", "l_extendedprice", "one"))
+    return _R(inference.bootstrap_ratio(rows, inference.bootstrap_weights(t.spark, rows.select(F.lit("all"), "month"), REPLICATES, 11), "month", "l_extendedprice", "one"))
 
 
 @query(f"""

@@ -96,6 +96,38 @@ def test_main_text(around):
     assert main_text(PAGE % (around % ARTICLE)) == WANT
 
 
+LONG = "<h2>Head</h2>" + "".join(f"<p>Paragraph {k} of an article that goes on and on with many words until it ends here.</p>" for k in range(3))
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="search-results">%s</div>', '<div class="article-comments-enabled">%s</div>', '<div class="page related-page">%s</div>', '<div class="post share-story">%s</div>',
+    '<div class="notice-board story">%s</div>', '<section id="banner-story">%s</section>', "<table><tr><td class=sidebar>Menu<td>%s</table>", "<ul><li class=related>x<li>%s</ul>",
+    "<nav><a href=x>Menu</a>%s", "<form>%s</form>",
+])
+def test_names_do_not_hide_an_article(page):
+    text = main_text(f"<html><body>{page % LONG}</body></html>")
+    assert all(f"Paragraph {k} of an article" in text for k in range(3)) and "Head" in text
+
+
+def test_clustering_decides():
+    menu = "".join(f"<p><a href={k}><b>Go</b> <i>{k}</i></a></p>" for k in range(12))
+    page = f"<html><body>{menu}{LONG}{menu}</body></html>"
+    assert main_text(page) == "\n\n".join(["Head", *(f"Paragraph {k} of an article that goes on and on with many words until it ends here." for k in range(3))])
+
+
+def test_text_beside_the_region_stays():
+    a, b = ("".join(f"<p>{w} {k} is a paragraph of some length with words that say something about it all.</p>" for k in range(n)) for w, n in (("First", 30), ("Last", 1)))
+    assert "Last 0" in main_text(f"<html><body><nav><a>x</a></nav><div><div>{a}</div><div>{b}</div></div><footer>us</footer></body></html>")
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    assert main_text("<div>some text" * 350_000).count("some text") == 350_000  # 5 MB
+    assert time.time() - began < 60
+
+
 @pytest.mark.parametrize("html", ["", " ", "<", "<p", "&amp", "<![CDATA[ x", "<div class=ad>only</div>", "<script>x", "</p></div>", "<p>" * 3000])
 def test_any_markup_is_read(html):
     assert isinstance(main_text(html), str)

@@ -59,8 +59,8 @@ def cell_area(row: Column, column: Column, grid: int, width_px: int, height_px:
 
 
 def request_id(*parts: Column) -> Column:
-    """SHA-256 of the parts' text joined by a zero byte."""
-    return F.sha2(F.concat_ws("\x00", *[p.cast("string") for p in parts]), 256)
+    """SHA-256 of the parts' text joined by a zero byte; a NULL part is written None, so it can't be taken for a missing one."""
+    return F.sha2(F.concat_ws("\x00", *[F.coalesce(p.cast("string"), F.lit("None")) for p in parts]), 256)
 
 
 def hamming64(a: Column, b: Column) -> Column:

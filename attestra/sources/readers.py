@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -27,6 +29,7 @@ TELEMETRY_NAMES = {
     "orange": ("orange",),
     "red": ("red",),
 }
+#: Columns a log must have, and lines within which its header stands (fixed values).
 REQUIRED = ("phase", "elapsed_s", "lat", "lon", "alt_m")
 HEADER_WITHIN = 200
 
@@ -71,9 +74,9 @@ def telemetry(spark: SparkSession, path: str) -> DataFrame:
     missing = [c for c in REQUIRED if c not in places]
     if missing:
         raise ValueError(f"telemetry without {missing}")
-    cells = lines.where(F.col("seq") > found["seq"]).select("seq", F.split("value", "[" + ("\\t" if mark == "\t" else mark) + "]").alias("c"))
+    cells = lines.where(F.col("seq") > found["seq"]).select("seq", F.from_csv("value", ", ".join(f"c{k} string" for k in range(len(names))), {"sep": mark}).alias("c"))
     text = ("phase", "time")
-    cols = [F.get("c", F.lit(k)).alias(n) if n in text else F.trim(F.get("c", F.lit(k))).try_cast("double").alias(n) for n, k in places.items()]
+    cols = [F.col(f"c.c{k}").alias(n) if n in text else F.trim(F.col(f"c.c{k}")).try_cast("double").alias(n) for n, k in places.items()]
     return cells.select("seq", *cols).where("elapsed_s is not null")
 
 
@@ -82,7 +85,7 @@ def _delimiter(line: str) -> str:
 
 
 def _cells(line: str) -> list[str]:
-    return line.split(_delimiter(line))
+    return next(csv.reader([line], delimiter=_delimiter(line)), [])
 
 
 def frames(spark: SparkSession, path: str) -> DataFrame:
@@ -98,13 +101,26 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def control_points(spark: SparkSession, path: str) -> DataFrame:
-    """Enabled control points with their role: the last two are holdouts, the rest are fitted."""
+    """Enabled control points: point, map_x, map_y, image_x, image_y, role. Lines that begin with # are comments.
+
+    Without a role column the last two are holdouts and the rest are fitted, and fewer than six are an error; other
+    roles than fit and holdout, missing columns and coordinates that are no number are errors too.
+    """
     from pyspark.sql import Window
 
-    rows = spark.read.option("header", True).csv(path)
-    alias = {"mapx": "map_x", "x": "map_x", "mapy": "map_y", "y": "map_y", "sourcex": "pixel_x", "pixelx": "pixel_x", "sourcey": "pixel_y", "pixely": "pixel_y", "enable": "enabled", "enabled": "enabled"}
-    rows = rows.toDF(*[alias.get(normal_header(c), c) for c in rows.columns]).withColumn("point", F.monotonically_increasing_id())
-    if "enabled" in rows.columns:
-        rows = rows.where(F.lower(F.trim("enabled")).isin("1", "true", "yes"))
-    last = F.row_number().over(Window.orderBy(F.desc("point")))  # a hand-made list of points
-    return rows.select("point", *[F.col(c).try_cast("double").alias(c) for c in ("map_x", "map_y", "pixel_x", "pixel_y")], F.when(last <= 2, "holdout").otherwise("fit").alias("role"))
+    rows = spark.read.option("header", True).option("comment", "#").csv(path)
+    alias = {"mapx": "map_x", "mapy": "map_y", "imagex": "image_x", "imagey": "image_y", "sourcex": "image_x", "pixelx": "image_x", "sourcey": "image_y", "pixely": "image_y"}
+    rows = rows.toDF(*[alias.get(normal_header(c), c.strip().lower()) for c in rows.columns]).withColumn("point", F.monotonically_increasing_id())
+    places = ("map_x", "map_y", "image_x", "image_y")
+    if missing := [c for c in places if c not in rows.columns]:
+        raise ValueError(f"control points without {missing} in {path}")
+    if "enable" in rows.columns:
+        rows = rows.where(F.lower(F.trim("enable")).isin("1", "true"))
+    if "role" not in rows.columns:
+        if rows.count() < 6:
+            raise ValueError(f"fewer than six enabled control points in {path}")
+        last = F.row_number().over(Window.orderBy(F.desc("point")))  # a hand-made list of points
+        rows = rows.withColumn("role", F.when(last <= 2, "holdout").otherwise("fit"))
+    elif unknown := [r[0] for r in rows.where("role is null or role not in ('fit', 'holdout')").select("role").distinct().collect()]:
+        raise ValueError(f"unknown control-point roles {unknown} in {path}")
+    return rows.select("point", *[F.col(c).cast("double").alias(c) for c in places], "role")

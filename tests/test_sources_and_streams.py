@@ -48,9 +48,31 @@ def test_files(spark, tmp_path):
         (tmp_path / n).write_bytes(data)
     assert [r.elapsed_s for r in R.frames(spark, str(tmp_path)).collect()] == [12]
     assert {r.size for r in R.inventory(spark, str(tmp_path)).collect()} == {1}
-    (tmp_path / "p.csv").write_text("mapX,mapY,sourceX,sourceY,enable\n" + "".join(f"{k},{k},{k},{k},{int(k != 1)}\n" for k in range(5)))
-    roles = [(r.map_x, r.role) for r in R.control_points(spark, str(tmp_path / "p.csv")).orderBy("point").collect()]
-    assert roles == [(0.0, "fit"), (2.0, "fit"), (3.0, "holdout"), (4.0, "holdout")]
+    points = tmp_path / "p.csv"
+    points.write_text("#CRS: none\nmapX,mapY,sourceX,sourceY,enable\n" + "".join(f"{k},{k},{k},{k},{int(k != 1)}\n" for k in range(7)))
+    roles = [(r.map_x, r.role) for r in R.control_points(spark, str(points)).orderBy("point").collect()]
+    assert roles == [(k, "fit") for k in (0.0, 2.0, 3.0, 4.0)] + [(5.0, "holdout"), (6.0, "holdout")]
+    points.write_text("image_x,image_y,map_x,map_y,role\n1,2,3,4,holdout\n5,6,7,8,fit\n")
+    assert [tuple(r)[1:] for r in R.control_points(spark, str(points)).orderBy("point").collect()] == [(3.0, 4.0, 1.0, 2.0, "holdout"), (7.0, 8.0, 5.0, 6.0, "fit")]
+    for wrong in ("image_x,image_y,map_x,map_y\n1,2,3,4\n", "image_x,image_y,map_x,map_y,role\n1,2,3,4,other\n", "image_x,image_y,map_x\n1,2,3\n"):
+        points.write_text(wrong)
+        with pytest.raises(ValueError):
+            R.control_points(spark, str(points))
+
+
+def test_quoted_cells_of_a_log(spark, tmp_path):
+    log = tmp_path / "log.csv"
+    log.write_text('preamble\n"Flight Phase",Elapsed Time,Latitude,Longitude,Altitude\n"climb, fast",1,2.5,3.5,"4"\n')
+    assert [(r.phase, r.elapsed_s, r.lat, r.alt_m) for r in R.telemetry(spark, str(log)).collect()] == [("climb, fast", 1.0, 2.5, 4.0)]
+
+
+def test_null_parts_of_a_request(spark):
+    from pyspark.sql import functions as F
+
+    from attestra.functions import scalars
+
+    rows = spark.createDataFrame([("a", None, "b"), ("a", "b", None)], "x string, y string, z string")
+    assert rows.select(scalars.request_id(F.col("x"), F.col("y"), F.col("z"))).distinct().count() == 2
 
 
 def test_kernels(spark):

@@ -107,19 +107,21 @@ def signatures(src: DataFrame) -> DataFrame:
 
 
 def _contents(src: DataFrame) -> DataFrame:
-    """(node, kmers) of (text): what verification compares."""
+    """(node, kmers, short) of (text): what verification compares, and 32 bits of each, by which groups are searched."""
 
     def work(batches):
         hasher = in_worker("word-hasher", WordHasher)
         for batch in slices(batches):
-            nodes, out = [], []
+            nodes, out, short = [], [], []
             for t in batch.column(0):
                 words = hasher(t.as_py() or "")
                 nodes.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest())
-                out.append(labelled(kmers(words)).astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(out, pa.binary())], ["node", "kmers"])
+                marked = labelled(kmers(words))
+                out.append(marked.astype("<u8").tobytes())
+                short.append((marked >> np.uint64(32)).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (nodes, out, short)], ["node", "kmers", "short"])
 
-    return src.select("text").mapInArrow(work, "node binary, kmers binary")
+    return src.select("text").mapInArrow(work, "node binary, kmers binary, short binary")
 
 
 def _load(data: bytes) -> np.ndarray:
@@ -193,7 +195,7 @@ def _verify_groups(rows: DataFrame) -> DataFrame:
                 if (key, i, j) != last:
                     out += done()
                     group, last = [], (key, i, j)
-                group.append((node, comp, _load(found), side))
+                group.append((node, comp, labelled(np.frombuffer(found, "<u4").astype(np.uint64)), side))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["a", "b"])
         out = done()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["a", "b"])
@@ -242,8 +244,10 @@ def classes(ws: Workspace, docs: DataFrame, id_col: str = "doc_id", text_col: st
     rows = comp.join(ws.save(mixed, "mixed"), "key", "left_semi").withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "comp", "side")
-    rows = rows.join(contents, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = ws.save(_verify_groups(rows), "links2")
+    rows = rows.join(contents.select("node", F.col("short").alias("kmers")), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = ws.save(_verify_groups(rows).distinct(), "found")
+    with_a = found.join(contents.select(F.col("node").alias("a"), F.col("kmers").alias("ka")), "a")
+    more = ws.save(with_a.join(contents.select(F.col("node").alias("b"), F.col("kmers").alias("kb")), "b").transform(_verify_pairs), "links2")
     labels = first
     if not more.isEmpty():
         labels = components(ws, with_b.unionByName(more), "second")

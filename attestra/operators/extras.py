@@ -16,8 +16,8 @@ def selective_causal(frame: DataFrame, by: str, keys: list[str], steps: int = 10
     edited = frame.where(F.col("sequence").isin(*scoring.DELETIONS)).select(by, *keys).distinct()
     screened = frame.where("sequence = 'screening' and variant = 'clean' and confidence is not null").groupBy(by, *keys).agg(F.max("confidence").alias("c"))
     ranked = screened.join(edited, [by, *keys], "left_semi")
-    w = Window.partitionBy(by)
-    ranked = ranked.withColumn("rn", F.row_number().over(w.orderBy(F.desc("c"), *keys))).withColumn("n", F.count(F.lit(1)).over(w))
+    ranked = scoring.numbered(ranked, [by], F.desc("c"), "c", [F.col(k) for k in keys])
+    ranked = ranked.join(F.broadcast(ranked.groupBy(by).agg(F.count(F.lit(1)).alias("n"))), by)  # one row a group
     size = lambda k: F.greatest(F.lit(1), F.bround(F.col("n") * k / float(steps)))
     chosen = ranked.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps)))).where(F.col("rn") <= size(F.col("step")))
     coverage = chosen.groupBy(by, "step").agg((F.count(F.lit(1)) / F.max("n")).alias("coverage"), F.min("c").cast("double").alias("confidence_threshold"))
@@ -26,13 +26,15 @@ def selective_causal(frame: DataFrame, by: str, keys: list[str], steps: int = 10
     return out.join(coverage, [by, "step"]).select(by, "step", "coverage", "confidence_threshold", "ocrs", "sen", "ses", "efs", "osg")
 
 
-def model_pairs(values: DataFrame, model: str, site: str, value: str) -> DataFrame:
-    """Paired t statistics of every two models over the sites both have."""
+def model_pairs(values: DataFrame, model: str, site: str, value: str, by: Column | None = None) -> DataFrame:
+    """Paired t statistics of every two models over the sites both have; `by` groups them by a part of the site s."""
     one = values.select(F.col(model).alias("a"), F.col(site).alias("s"), F.col(value).alias("x"))
     two = values.select(F.col(model).alias("b"), F.col(site).alias("s"), F.col(value).alias("y"))
-    d = one.join(two, "s").where("a < b and x is not null and y is not null").select("a", "b", (F.col("x") - F.col("y")).alias("d"))
-    out = d.groupBy("a", "b").agg(F.count("d").alias("n_sites"), F.avg("d").alias("mean_difference"), F.stddev_samp("d").alias("sd"))
-    return out.select("a", "b", "n_sites", "mean_difference", F.when((F.col("n_sites") >= 2) & (F.col("sd") > 0), F.col("mean_difference") / (F.col("sd") / F.sqrt("n_sites"))).alias("t"))
+    keys = [F.col("a"), F.col("b"), *([] if by is None else [by])]
+    d = one.join(two, "s").where("a < b and x is not null and y is not null").select(*keys, (F.col("x") - F.col("y")).alias("d"))
+    names = [c for c in d.columns if c != "d"]
+    out = d.groupBy(*names).agg(F.count("d").alias("n_sites"), F.avg("d").alias("mean_difference"), F.stddev_samp("d").alias("sd"))
+    return out.select(*names, "n_sites", "mean_difference", F.when((F.col("n_sites") >= 2) & (F.col("sd") > 0), F.col("mean_difference") / (F.col("sd") / F.sqrt("n_sites"))).alias("t"))
 
 
 def operator_agreement(values: DataFrame, operator: str, unit: str, value: str) -> DataFrame:

@@ -20,7 +20,7 @@ def scores(p0: Column, p1: Column, p2: Column, p3: Column) -> tuple[Column, Colu
     return clip(p0 - p1, -1.0), clip(1 - F.abs(p0 - p2), -1.0), clip(F.abs(p0 - p3), 0.0)
 
 
-def decide(cases: DataFrame, necessity_min: float, sufficiency_min: float, nuisance_max: float, confidence_min: int) -> DataFrame:
+def decide(cases: DataFrame, necessity_min: float | Column, sufficiency_min: float | Column, nuisance_max: float | Column, confidence_min: int | Column) -> DataFrame:
     """Adds decision, calls_used and reason to cases (answer, confidence, necessity, sufficiency, nuisance, stages).
 
     Only a yes is checked; without all stages it is an abstention that cost what was asked.
@@ -84,3 +84,22 @@ def frontier(points: DataFrame) -> DataFrame:
     better = (F.col("a") >= F.col("balanced_accuracy")) & (F.col("c") >= F.col("coverage")) & (F.col("m") <= F.col("mean_calls"))
     strictly = (F.col("a") > F.col("balanced_accuracy")) | (F.col("c") > F.col("coverage")) | (F.col("m") < F.col("mean_calls"))
     return p.join(F.broadcast(o), better & strictly, "left_anti")  # both sides have 1,440 rows at most
+
+
+def tune(cases: DataFrame, development: Column) -> DataFrame:
+    """The policy to use, chosen on development cases alone: most accurate, then widest, then cheapest of those that
+    none beats; one row, or none without development cases."""
+    best = frontier(evaluate_grid(cases.where(development)))
+    return best.orderBy(F.desc("balanced_accuracy"), F.desc("coverage"), "mean_calls", "point").limit(1)  # the operator picks one
+
+
+def ablate(cases: DataFrame, policy: DataFrame) -> DataFrame:
+    """Decisions of each case under a policy (one row with its four thresholds) and with one of its three checks alone,
+    as rows (*, variant, reason, calls_used, decision). A check that is off has a threshold nothing fails."""
+    n, s, u = (F.col(c).cast("double") for c in ("necessity_min", "sufficiency_min", "nuisance_max"))
+    least, most = F.lit(-1.0), F.lit(1.0)
+    made = [("full", n, s, u), ("necessity_only", n, least, most), ("sufficiency_only", least, s, most), ("nuisance_only", least, least, u)]
+    variants = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), a.alias("n_"), b.alias("s_"), c.alias("u_")) for v, a, b, c in made]))
+    rows = cases.crossJoin(F.broadcast(policy.select(variants.alias("_v"), F.col("confidence_min").alias("_c"))))  # four rows
+    rows = decide(rows, F.col("_v.n_"), F.col("_v.s_"), F.col("_v.u_"), F.col("_c"))
+    return rows.withColumn("variant", F.col("_v.variant")).drop("_v", "_c")

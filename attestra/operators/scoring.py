@@ -121,19 +121,43 @@ def causal(frame: DataFrame, by: list[str], keys: list[str] | None = None, base:
     return out.select(*by, *[F.col(s).alias(f"auc_{s}") for s in DELETIONS], "ocrs", "sen", "ses", "efs", (F.col("ocrs") - F.col("efs")).alias("osg"))
 
 
+def numbered(rows: DataFrame, by: list[str], direction: Column, value: str, ties: list[Column], name: str = "rn") -> DataFrame:
+    """Adds the number of each row in its group by value (in `direction`), equal values in the order of `ties`.
+
+    Rows are counted by value first and counts are summed over values, so a task sorts rows of one value, not of a group.
+    """
+    counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*by).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select(*by, value, F.coalesce(earlier, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*by, value).orderBy(*ties))
+    return rows.join(before, [*by, value]).withColumn(name, F.col("_before") + own).drop("_before")
+
+
 def selective_risk(frame: DataFrame, by: list[str], order: list[Column], steps: int = 10) -> DataFrame:
     """Risk over the most confident tenths of answered rows. Sizes round halves to even, at least 1; coverage is
-    of all rows. `order` breaks ties, so the result is the same on every run."""
-    w = Window.partitionBy(*by).orderBy(F.desc("confidence"), *order)
-    answered = frame.where("predicted is not null and confidence is not null")
+    of all rows. `order` breaks ties, so the result is the same on every run.
+
+    Rows are counted by confidence and counts summed over its values; only the rows of a value in which a tenth ends
+    are put in order.
+    """
     wrong = ((F.col("predicted") == 1) != F.col("true_positive")).cast("long")
     neg = (~F.col("true_positive")).cast("long")
-    run = lambda x: F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = answered.select(*by, "confidence", F.row_number().over(w).alias("rn"), run(wrong).alias("wrong"), run(neg).alias("neg"), run(neg * F.col("predicted").cast("long")).alias("fp"))
+    answered = frame.where("predicted is not null and confidence is not null").withColumns({"_wrong": wrong, "_neg": neg, "_fp": neg * F.col("predicted").cast("long")})
+    parts = ["_wrong", "_neg", "_fp"]
+    cells = answered.groupBy(*by, "confidence").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(c) for c in parts])
+    down = Window.partitionBy(*by).orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(*by, "confidence", F.col("_n").alias("_size"), *[F.coalesce(F.sum(c).over(down), F.lit(0)).alias(f"{c}_before") for c in ["_n", *parts]])
     sizes = frame.groupBy(*by).agg(F.count(F.lit(1)).alias("n_all"), F.count(F.when(F.col("predicted").isNotNull() & F.col("confidence").isNotNull(), 1)).alias("n"))
     steps_ = sizes.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
     steps_ = steps_.withColumn("rn", F.greatest(F.lit(1), F.bround(F.col("n") * F.col("step") / float(steps)).cast("int")))
-    return ranked.join(steps_, [*by, "rn"]).select(
-        *by, "step", (F.col("rn") / F.col("n_all")).alias("coverage"), (F.col("wrong") / F.col("rn")).alias("selective_risk"),
-        S.ratio(F.col("fp"), F.col("neg")).alias("selective_false_positive_rate"), F.col("confidence").cast("double").alias("confidence_threshold"),
+    cuts = cells.join(steps_, by).where("rn > _n_before and rn <= _n_before + _size")  # one row a step
+    inside = answered.join(F.broadcast(cuts.select(*by, "confidence").distinct()), [*by, "confidence"])
+    w = Window.partitionBy(*by, "confidence").orderBy(*order)
+    run = lambda c: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(c)
+    ranked = inside.select(*by, "confidence", F.row_number().over(w).alias("_at"), *[run(c) for c in parts])
+    both = ranked.join(cuts, [*by, "confidence"]).where("_at = rn - _n_before")
+    wrong, neg, fp = (F.col(c) + F.col(f"{c}_before") for c in parts)
+    return both.select(
+        *by, "step", (F.col("rn") / F.col("n_all")).alias("coverage"), (wrong / F.col("rn")).alias("selective_risk"),
+        S.ratio(fp, neg).alias("selective_false_positive_rate"), F.col("confidence").cast("double").alias("confidence_threshold"),
     )

@@ -74,3 +74,12 @@ select l_returnflag as model, case when l_linestatus = 'O' then 'clean' else 'de
 from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey
 join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey)
 """
+
+
+def t_p_sql(t: str, df: str) -> str:
+    """Two-sided p of Student's t for whole degrees of freedom, by the finite series in the cosine of atan(t / sqrt(df))."""
+    cos, sin, angle = f"(1 / sqrt(1 + {t} * {t} / {df}))", f"(abs({t}) / sqrt({df} + {t} * {t}))", f"atan(abs({t}) / sqrt({df}))"
+    term = lambda up, down, power: f"exp(lgamma({up}) - lgamma({down})) * pow({cos}, {power})"
+    even = f"{sin} * coalesce(list_sum([{term('k + 0.5e0', 'k + 1e0', '2 * k')} for k in range({df} // 2)]), 0) / sqrt(pi())"
+    odd = f"2 / pi() * ({angle} + {sin} * coalesce(list_sum([{term('k + 1e0', 'k + 1.5e0', '2 * k + 1')} for k in range(({df} - 1) // 2)]), 0) * sqrt(pi()) / 2)"
+    return f"case when {t} is not null and {df} > 0 then 1 - case when {df} % 2 = 0 then {even} else {odd} end end"

@@ -244,10 +244,10 @@ select model, round(rho, 6) as spearman_rho, round(visible, 6) as mean_visible,
 """)
 def q13_width_control(t: Tables) -> DataFrame:
     """Positive control: do answers rise with the width of what was inserted?"""
-    from attestra.operators.inference import average_rank
+    from attestra.operators.inference import average_ranks
 
     rows = scored(t).where("sequence = 'texture_control'").select("model", "width_px", "p_yes")
-    ranked = rows.select("model", "width_px", "p_yes", average_rank("width_px", "model").alias("rx"), average_rank("p_yes", "model").alias("ry"))
+    ranked = average_ranks(average_ranks(rows.select("model", "width_px", "p_yes"), "width_px", "rx", "model"), "p_yes", "ry", "model")
     out = ranked.groupBy("model").agg(
         F.corr("rx", "ry").alias("spearman_rho"), F.avg(F.when(F.col("width_px") >= 2, F.col("p_yes"))).alias("mean_visible"), F.avg(F.when(F.col("width_px") < 2, F.col("p_yes"))).alias("mean_sub_pixel")
     )

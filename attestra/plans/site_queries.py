@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from attestra.operators import cohort, inference
 from attestra.operators import quality_rules as Q
 from attestra.operators.scoring import rounded as _R
-from attestra.plans.proxy import SCORED, pick, scored
+from attestra.plans.proxy import SCORED, pick, scored, t_p_sql
 from attestra.plans.registry import Tables, query
 
 _ALT = [3000.0, 4500.0, 12000.0, 24000.0]
@@ -258,7 +258,13 @@ def q49_paired_comparison(t: Tables) -> DataFrame:
     return _R(inference.paired_comparison(scored(t), "site_id", "variant", "p_yes", "clean", "degraded", "model"))
 
 
-@query(None)
+@query(f"""
+with {SCORED}, m as (select model, site_id, avg(p_yes) filter (where variant = 'clean') as a, avg(p_yes) filter (where variant = 'degraded') as b from scored group by all), d as (select model, a - b as d from m where a is not null and b is not null),
+c as (select model, count(*) as n_sites, avg(d) as mean_difference, case when count(*) >= 2 then stddev_samp(d) / sqrt(count(*)) end as standard_error, count(*) - 1 as df from d group by 1),
+t as (select *, case when standard_error > 0 then mean_difference / standard_error end as t from c), p as (select *, {t_p_sql('t', 'df')} as p from t),
+k as (select *, row_number() over (partition by p is null order by p) as rk, count(p) over () as m from p), q as (select *, min(p * m / rk) over (partition by p is null order by rk desc rows unbounded preceding) as q from k)
+select model, 'paired' as family, n_sites, round(mean_difference, 6) as mean_difference, round(standard_error, 6) as standard_error, round(t, 6) as t, round(p, 6) as p, round(case when p is not null then least(1, q) end, 6) as q from q
+""")
 def q49b_paired_p_values(t: Tables) -> DataFrame:
     """The same with two-sided p-values of Student's t and their false discovery rates."""
     rows = inference.paired_comparison(scored(t), "site_id", "variant", "p_yes", "clean", "degraded", "model").withColumn("p", inference.t_p_value(F.col("t"), (F.col("n_sites") - 1).cast("double")))

@@ -19,21 +19,38 @@ def view_lattice(sites: DataFrame, altitudes_m: list[float], geometries: list[st
     return rows.withColumns({"gsd": gsd, "ground_width_m": gsd * width_px})
 
 
-def close_pairs(sites: DataFrame, key: str, lat: str, lon: str, metres: float, max_lat: float) -> DataFrame:
-    """Pairs (a < b) of sites nearer than `metres`, with the distance.
+def _close_places(sites: DataFrame, lat: str, lon: str, metres: float, max_lat: float) -> DataFrame:
+    """Pairs (p, q, distance_m) of distinct places nearer than `metres`, each once (p not after q), and every place with itself.
 
-    Sites are put in cells at least that wide at every latitude up to max_lat, so a pair is in neighbouring
-    cells; one side goes to its nine neighbours and the join is on cells. Cells keep to a bounded area, and what
-    makes pairs is how densely sites lie, not how many there are.
+    Places are put in cells at least that wide at every latitude up to max_lat, so a pair is in neighbouring
+    cells; one side goes to its nine neighbours and the join is on cells. Sites at the same place are one here, so
+    a distance is taken once for all of them.
     """
     dlat = metres / 110_000.0
     dlon = dlat / max(math.cos(math.radians(max_lat)), 0.01)
-    at = sites.select(F.col(key).alias("k"), F.col(lat).alias("y"), F.col(lon).alias("x")).where("y is not null and x is not null")
+    at = sites.select(F.col(lat).alias("y"), F.col(lon).alias("x")).where("y is not null and x is not null").distinct()
     at = at.withColumns({"r": F.floor(F.col("y") / dlat), "c": F.floor(F.col("x") / dlon)})
     around = F.array(*[F.struct((F.col("r") + i).alias("r"), (F.col("c") + j).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    other = at.select(F.col("k").alias("b"), F.col("y").alias("y2"), F.col("x").alias("x2"), F.explode(around).alias("n")).select("b", "y2", "x2", "n.r", "n.c")
+    other = at.select(F.col("y").alias("y2"), F.col("x").alias("x2"), F.explode(around).alias("n")).select("y2", "x2", "n.r", "n.c")
+    p, q = F.struct(F.col("y"), F.col("x")), F.struct(F.col("y2").alias("y"), F.col("x2").alias("x"))
     d = S.haversine_m(F.col("y"), F.col("x"), F.col("y2"), F.col("x2"))
-    return at.join(other, ["r", "c"]).where("k < b").withColumn("distance_m", d).where(F.col("distance_m") < metres).select(F.col("k").alias("a"), "b", "distance_m")
+    return at.join(other, ["r", "c"]).where(p <= q).select(p.alias("p"), q.alias("q"), d.alias("distance_m")).where(F.col("distance_m") < metres)
+
+
+def close_pairs(sites: DataFrame, key: str, lat: str, lon: str, metres: float, max_lat: float, digits: int | None = None) -> DataFrame:
+    """Pairs (a < b) of sites nearer than `metres`, with the distance, rounded if digits are given.
+
+    Pairs of distinct places are found first and then given their sites, so that a candidate is tested, and a
+    distance taken and rounded, once for all sites of two places. What is left is the pairs themselves.
+    """
+    near = _close_places(sites, lat, lon, metres, max_lat)
+    if digits is not None:
+        near = near.withColumn("distance_m", F.round("distance_m", digits))
+    place = F.struct(F.col(lat).alias("y"), F.col(lon).alias("x"))
+    own = sites.where(F.col(key).isNotNull()).select(place.alias("p"), F.col(key).alias("k"))
+    near = near.withColumn("same", F.col("p") == F.col("q"))
+    met = near.join(own.hint("shuffle_hash"), "p").drop("p").join(own.toDF("q", "k2").hint("shuffle_hash"), "q").where("k < k2 or not same and k <> k2")
+    return met.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"), "distance_m")
 
 
 def leakage(rows: DataFrame, identifier: str, split: str, site: str) -> DataFrame:

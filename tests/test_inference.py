@@ -82,6 +82,28 @@ def test_clustered_ols(spark):
     assert got["x"].coefficient == pytest.approx(beta[1]) and got["x"].standard_error == pytest.approx(error[1])
 
 
+def _crowded(spark):
+    """Sites that share few places, some of them without a place, a key or a split."""
+    rng = np.random.default_rng(4)
+    at = [(float(a), float(b)) for a, b in zip(rng.uniform(30, 30.2, 12), rng.uniform(-110.2, -110, 12))]
+    rows = [(k, *at[int(rng.integers(12))], ["x", "y", "z"][int(rng.integers(3))]) for k in rng.permutation(160).tolist()]
+    return rows, spark.createDataFrame([*rows, (None, *at[0], "x"), (500, None, at[0][1], "x"), (501, *at[0], None)], "k long, lat double, lon double, s string")
+
+
+def test_close_pairs_tests_places_not_sites(spark):
+    rows, sites = _crowded(spark)
+    got = sorted(map(tuple, cohort.close_pairs(sites.where("k < 500"), "k", "lat", "lon", 5000, 32, digits=3).collect()))
+    want = [(p[0], q[0], round(d, 3)) for p in rows for q in rows if p[0] < q[0] and (d := _metres(p, q)) < 5000]
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)] and [g[2] for g in got] == pytest.approx([w[2] for w in sorted(want)], abs=0.002)
+    near = cohort._close_places(sites, "lat", "lon", 5000, 32).count()
+    assert near <= 12 * 13 // 2  # a distance is taken for pairs of places, however many sites they have
+
+
+def _metres(p, q):
+    a, b, c, d = map(math.radians, (p[1], p[2], q[1], q[2]))
+    return 2 * 6371008.8 * math.asin(math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2))
+
+
 def test_close_pairs_against_all_pairs(spark):
     rng = np.random.default_rng(3)
     at = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(30, 32, 250), rng.uniform(-111, -109, 250)))]

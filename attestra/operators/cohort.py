@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +55,42 @@ def close_pairs(sites: DataFrame, key: str, lat: str, lon: str, metres: float, m
     return met.select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"), "distance_m")
 
 
+#: Keys of sites at one place and of one split that are in one row.
+KEYS = 50_000
+
+
+def close_splits(sites: DataFrame, key: str, split: str, lat: str, lon: str, metres: float, max_lat: float) -> DataFrame:
+    """By splits of the site with the smaller key and of the other one ("a/b"): pairs of sites of different splits nearer
+    than `metres`, and the least distance.
+
+    Pairs are counted, not made: of two places, how many keys of one are below keys of the other is told by their
+    sorted keys. Keys of a place are dealt to rows of about KEYS.
+    """
+    near = _close_places(sites, lat, lon, metres, max_lat)
+    place = F.struct(F.col(lat).alias("y"), F.col(lon).alias("x"))
+    rows = sites.where(F.col(key).isNotNull() & F.col(split).isNotNull()).select(place.alias("p"), F.col(split).alias("s"), F.col(key).alias("k"))
+    many = rows.groupBy("p", "s").agg(F.ceil(F.count(F.lit(1)) / KEYS).alias("parts")).where("parts > 1")
+    dealt = rows.join(many, ["p", "s"], "left").withColumn("part", F.pmod(F.xxhash64("k"), F.coalesce("parts", F.lit(1))))
+    own = dealt.groupBy("p", "s", "part").agg(F.array_sort(F.collect_list("k")).alias("ks")).drop("part")
+    met = near.join(own, "p").join(own.toDF("q", "s2", "ks2"), "q").where("p = q and s < s2 or p <> q and s <> s2")
+
+    def count(batches):
+        for batch in batches:
+            below, above = [], []
+            for x, y in zip(batch.column(3), batch.column(4)):
+                x, y = (v.values.to_numpy(zero_copy_only=False) for v in (x, y))
+                at, to = np.searchsorted(x, y, "left"), np.searchsorted(x, y, "right")
+                below.append(int(at.sum()))
+                above.append(len(x) * len(y) - int(to.sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(below, pa.int64()), pa.array(above, pa.int64())], ["s", "s2", "distance_m", "below", "above"])
+
+    kind = sites.schema[split].dataType.simpleString()
+    n = met.select("s", "s2", "distance_m", "ks", "ks2").mapInArrow(count, f"s {kind}, s2 {kind}, distance_m double, below long, above long")
+    each = F.explode(F.array(F.struct(F.col("s").alias("sa"), F.col("s2").alias("sb"), F.col("below").alias("n")), F.struct(F.col("s2").alias("sa"), F.col("s").alias("sb"), F.col("above").alias("n"))))
+    n = n.select("distance_m", each.alias("e")).select("distance_m", "e.*").where("n > 0")
+    return n.groupBy(F.concat_ws("/", "sa", "sb").alias("splits")).agg(F.sum("n").alias("n"), F.min("distance_m").alias("nearest_m"))
+
+
 def leakage(rows: DataFrame, identifier: str, split: str, site: str) -> DataFrame:
     """Identifiers that sites of more than one split share."""
     out = rows.groupBy(F.col(identifier).alias("identifier")).agg(F.array_join(F.array_sort(F.collect_set(split)), "+").alias("splits"), F.count_distinct(split).alias("n_splits"), F.count_distinct(site).alias("n_sites"))

@@ -99,6 +99,21 @@ def test_close_pairs_tests_places_not_sites(spark):
     assert near <= 12 * 13 // 2  # a distance is taken for pairs of places, however many sites they have
 
 
+@pytest.mark.parametrize("keys", [50_000, 3])
+def test_close_splits_counts_pairs(spark, monkeypatch, keys):
+    monkeypatch.setattr(cohort, "KEYS", keys)
+    rows, sites = _crowded(spark)
+    want = {}
+    for p in rows:
+        for q in rows:
+            if p[0] < q[0] and p[3] != q[3] and (d := _metres(p, q)) < 5000:
+                n, least = want.get(f"{p[3]}/{q[3]}", (0, d))
+                want[f"{p[3]}/{q[3]}"] = (n + 1, min(least, d))
+    got = {r.splits: (r.n, r.nearest_m) for r in cohort.close_splits(sites, "k", "s", "lat", "lon", 5000, 32).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(v[1] == pytest.approx(want[k][1], abs=1e-6) for k, v in got.items())
+
+
 def _metres(p, q):
     a, b, c, d = map(math.radians, (p[1], p[2], q[1], q[2]))
     return 2 * 6371008.8 * math.asin(math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2))

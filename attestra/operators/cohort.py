@@ -139,10 +139,71 @@ def displacement_px(radius_px: Column, relief_m: Column, altitude_m: Column) ->
     return radius_px * relief_m / altitude_m
 
 
+#: Bins of a range in which a median is looked for.
+BINS = 4096
+
+
+def _bin(v: Column, lo: Column, hi: Column) -> Column:
+    """Bin of a value in a range of finite values; equal and larger values are in no lower bin, NaN is the largest."""
+    part = F.floor((v / 2 - lo / 2) / F.nullif(hi / 2 - lo / 2, F.lit(0.0)) * BINS)
+    inf = float("inf")
+    return F.when(F.isnan(v), BINS + 1).when(v == inf, BINS).when(v == -inf, -1).when(v == hi, BINS - 1).otherwise(F.coalesce(F.least(part, F.lit(BINS - 1)), F.lit(0))).cast("int")
+
+
 def spread(rows: DataFrame, value: Column, *keys: str) -> DataFrame:
-    """Median and maximum overall and by each key, from one pass over grouping sets."""
-    cols = [F.col(k) for k in keys]
-    return rows.withColumn("_v", value).groupingSets([[], *[[c] for c in cols]], *cols).agg(F.percentile("_v", 0.5).alias("median"), F.max("_v").alias("maximum"), F.count("_v").alias("n"))
+    """Median and maximum overall and by each key.
+
+    Values are counted in bins of their range, and then in bins of those bins that hold a middle rank; only distinct
+    values of the latter are put in order. Rows are read four times, and no group's values meet in one task.
+    """
+    data = rows.select(*keys, value.alias("_v"))
+    sets = [[], *[[k] for k in keys]]
+    of = lambda k, s: F.col(k) if k in s else F.lit(None).cast(rows.schema[k].dataType)
+
+    def by_sets(d: DataFrame) -> DataFrame:
+        """Every row once for each grouping set (_s), without the other keys."""
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("_s"), *[of(k, s).alias(k) for k in keys]) for i, s in enumerate(sets)])).alias("_e")
+        return d.select(each, *[c for c in d.columns if c not in keys]).select("_e.*", *[c for c in d.columns if c not in keys])
+
+    def met(d: DataFrame, other: DataFrame, *more: str) -> DataFrame:
+        """Rows of d with what other has for their group and for columns more."""
+        names = ["_s", *keys, *more]
+        right = other.select(*[F.col(c).alias(f"_o{c}") for c in names], *[c for c in other.columns if c not in names])
+        same = F.lit(True)
+        for c in names:
+            same = same & F.col(c).eqNullSafe(F.col(f"_o{c}"))
+        return d.join(right, same).drop(*[f"_o{c}" for c in names])
+
+    finite = F.when(~F.isnan("_d") & (F.abs("_d") < float("inf")), F.col("_d"))
+    each = data.withColumn("_d", F.col("_v").cast("double")).groupBy(*keys).agg(F.max("_v").alias("maximum"), F.count("_v").alias("n"), F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
+    groups = by_sets(each).groupBy("_s", *keys).agg(F.max("maximum").alias("maximum"), F.sum("n").alias("n"))
+    ends = each.agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    ranks = groups.select("_s", *keys, F.expr("(n - 1) div 2").alias("_a"), F.expr("n div 2").alias("_b")).where("n > 0")
+
+    def middle(counts: DataFrame, *order: str) -> DataFrame:
+        """Rows of counts (_c) that hold a middle rank of their group, which has _before lower values."""
+        upto = F.sum("_c").over(Window.partitionBy("_s", *keys).orderBy(*order))
+        return counts.withColumn("_before", F.col("_base") + upto - F.col("_c")).where("_before <= _b and _before + _c > _a")
+
+    known = [F.count(F.lit(1)).alias("_c"), F.min("_d").alias("_lo"), F.max("_d").alias("_hi")]
+    binned = data.where("_v is not null").select(*keys, F.col("_v").cast("double").alias("_d")).join(F.broadcast(ends)).withColumn("_bin", _bin(F.col("_d"), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    first = by_sets(binned.groupBy(*keys, "_bin").agg(*known)).groupBy("_s", *keys, "_bin").agg(F.sum("_c").alias("_c"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    first = middle(met(first, ranks.withColumn("_base", F.lit(0))), "_bin").select("_s", *keys, "_bin", "_lo", "_hi", "_a", "_b", "_before")
+    # all bins that are left for any group: BINS + 3 at most
+    left = binned.join(F.broadcast(first.select("_bin").distinct()), "_bin", "left_semi").groupBy(*keys, "_bin", "_d").agg(F.count(F.lit(1)).alias("_c"))
+    left = met(by_sets(left), first, "_bin").withColumn("_part", _bin(F.col("_d"), F.col("_lo"), F.col("_hi")))
+    base = Window.partitionBy("_s", *keys)
+    lowest = lambda d: d.withColumn("_base", F.min("_before").over(base)).drop("_before")
+    second = left.groupBy("_s", *keys, "_bin", "_part", "_a", "_b", "_before").agg(F.sum("_c").alias("_c"))
+    second = middle(lowest(second), "_bin", "_part").select("_s", *keys, "_bin", "_part", "_before")
+    third = met(left.drop("_before", "_lo", "_hi"), second, "_bin", "_part").groupBy("_s", *keys, "_bin", "_part", "_d", "_a", "_b", "_before").agg(F.sum("_c").alias("_c"))
+    third = middle(lowest(third), "_bin", "_part", "_d").groupBy("_s", *keys).agg(F.min("_d").alias("_x"), F.max("_d").alias("_y"))
+    median = F.when(F.col("_x") == F.col("_y"), F.col("_x")).otherwise(F.lit(0.5) * F.col("_x") + F.lit(0.5) * F.col("_y"))
+    right = third.select(*[F.col(c).alias(f"_o{c}") for c in ("_s", *keys)], median.alias("median"))
+    same = F.lit(True)
+    for c in ("_s", *keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_o{c}"))
+    return groups.join(right, same, "left").select(*keys, "median", "maximum", "n")
 
 
 def round_robin(rows: DataFrame, stratum: str, key: str, seed: int, n: int) -> DataFrame:

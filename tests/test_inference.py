@@ -119,6 +119,21 @@ def _metres(p, q):
     return 2 * 6371008.8 * math.asin(math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2))
 
 
+@pytest.mark.parametrize("bins", [4096, 2])
+def test_spread_orders_few_values(spark, monkeypatch, bins):
+    """Medians as percentile() gives them, with NULL, NaN, infinities and values far apart, from a plan without it."""
+    monkeypatch.setattr(cohort, "BINS", bins)
+    rng = np.random.default_rng(5)
+    v = [*rng.normal(0, 1, 300).tolist(), *[2.0] * 90, 1e300, -1e308, 1.7e308, float("inf"), float("-inf"), float("nan"), None, None]
+    rows = [(["p", "q", None][k % 3], k % 4, x) for k, x in enumerate(v)] + [("void", 9, None), ("one", 10, 5.0), ("two", 10, 7.0), ("nan", 11, float("nan")), ("inf", 12, float("inf")), ("inf", 12, float("inf"))]
+    frame = spark.createDataFrame(rows, "a string, b int, v double")
+    got = cohort.spread(frame, F.col("v"), "a", "b")
+    assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = frame.groupingSets([[], [F.col("a")], [F.col("b")]], F.col("a"), F.col("b")).agg(F.percentile("v", 0.5).alias("median"), F.max("v").alias("maximum"), F.count("v").alias("n"))
+    assert got.columns == want.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+
+
 def test_close_pairs_against_all_pairs(spark):
     rng = np.random.default_rng(3)
     at = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(30, 32, 250), rng.uniform(-111, -109, 250)))]
